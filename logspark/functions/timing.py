@@ -109,7 +109,7 @@ def extract_timestamp_ms(text: Column, now_ms: int) -> Column:
     return F.coalesce(_epoch_number(line), _iso(line), _syslog(line, now_ms))
 
 
-def coerce_event_ms(value: Column, now_ms: int) -> Column:
+def coerce_event_ms(value: Column, now_ms: int | Column) -> Column:
     """A JSON time value as epoch ms: epoch seconds, else ISO text (naive = UTC), else ``now_ms``."""
     number = value.try_cast("decimal(28,6)")
     text = F.trim(value)

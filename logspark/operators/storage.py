@@ -47,7 +47,7 @@ def apply_retention(df: DataFrame, tenants: DataFrame, now_ms: int, time: str =
     days = F.lit(DEFAULT_DAYS)
     for tier, keep in TIER_DAYS.items():
         days = F.when(F.col("tier") == tier, keep).otherwise(days)
-    limits = tenants.select(F.col("id").cast("string").alias("tenant_id"), (F.lit(now_ms) - days * DAY_MS).alias("_from"))
+    limits = tenants.select(F.col("id").cast("string").alias("tenant_id"), (F.lit(now_ms) - days.cast("long") * DAY_MS).alias("_from"))
     kept = df.join(limits, "tenant_id", "left").where(F.col("_from").isNull() | (ms(F.col(time)) >= F.col("_from")))
     return kept.select(*df.columns)
 

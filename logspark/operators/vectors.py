@@ -169,7 +169,8 @@ def density_clusters(
     of the cores, label = smallest core id; other vectors join their nearest core within eps.
     """
     total = vectors.count()
-    min_samples, min_cluster_size = min(min_samples, total), min(min_cluster_size, total)
+    min_cluster_size = min(min_cluster_size, max(2, total // 2))
+    min_samples = min(min_samples, max(1, total - 1))
     degrees = _degrees(vectors, eps, tile_rows)
     marked = vectors.select("id", "vector").join(degrees, "id", "left").withColumn("core", F.coalesce("near", F.lit(0)) + 1 >= min_samples).drop("near")
     marked = cut_lineage(marked)

@@ -12,6 +12,7 @@ from logspark.functions.timing import at_ms, ms
 
 # File kinds read as logs, and the longest message kept.
 LOG_EXTENSIONS = (".log", ".txt", ".jsonl", ".ndjson", ".json")
+JSON_EXTENSIONS = (".json", ".jsonl", ".ndjson")
 MAX_LINE = 10_000
 WHITE_SPACE = " \t\r\n\x0b\x0c"
 
@@ -83,12 +84,14 @@ def _with_message(df: DataFrame, line: str, is_json: Column, max_len: int) -> Da
     ).drop("_object")
 
 
-def read_json_logs(spark: SparkSession, path: str | list[str], max_len: int = MAX_LINE) -> DataFrame:
+def read_json_logs(
+    spark: SparkSession, path: str | list[str], max_len: int = MAX_LINE, extensions: Sequence[str] = JSON_EXTENSIONS
+) -> DataFrame:
     """JSON-lines files -> ``raw_text, source, metadata``; a line that is no object stays plain text.
 
     The line is parsed whole; only the message is cut to ``max_len``.
     """
-    lines = _lines(spark, path, (".json", ".jsonl", ".ndjson")).where(F.col("line") != "")
+    lines = _lines(spark, path, extensions).where(F.col("line") != "")
     out = _with_message(lines, "line", F.lit(True), max_len)
     return out.select("raw_text", F.col("_file.file_path").alias("source"), "metadata")
 
@@ -120,18 +123,19 @@ def read_mixed_logs(
     from_ms: int | None = None,
     to_ms: int | None = None,
     tenant: str | None = None,
+    extensions: Sequence[str] = (".log",),
 ) -> DataFrame:
     """A folder of ``*.log`` files with JSON and plain lines mixed, newest first.
 
     ``_file`` names the file, the default source is its stem. Rows without a time pass the bounds.
     """
-    lines = _lines(spark, os.path.join(folder, file_name) if file_name else folder, (".log",))
+    lines = _lines(spark, os.path.join(folder, file_name) if file_name else folder, extensions)
     lines = lines.where(F.col("line") != "").select("line", F.col("_file.file_name").alias("_file"))
     plain = parse_plain_logs(lines, "line").withColumn("_object", _json_object(F.col("line")))
     field = lambda name: F.try_variant_get("_object", f"$.{name}", "string")
     is_json = F.col("_object").isNotNull()
     stamp = at_ms((F.try_variant_get("_object", "$.timestamp", "decimal(28,6)") * 1000).try_cast("long"))
-    stem = F.replace(F.col("_file"), F.lit(".log"), F.lit(""))
+    stem = F.regexp_replace(F.col("_file"), r"\.[^.]*$", "")
     out = plain.select(
         F.when(is_json, stamp).otherwise(F.col("timestamp")).alias("timestamp"),
         F.coalesce(F.nullif(F.when(is_json, field("source")).otherwise(F.col("source")), F.lit("")), stem).alias("source"),

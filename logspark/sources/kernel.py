@@ -13,12 +13,15 @@ def until_nul(text: Column) -> Column:
     return F.substring_index(text, "\x00", 1)
 
 
-def kernel_events_to_ecs(df: DataFrame, hostname: str = "node", family: str = "linux") -> DataFrame:
-    """``timestamp(ms), event_type, pid, comm, filename, protocol`` -> ECS structs."""
+def kernel_events_to_ecs(
+    df: DataFrame, hostname: str = "node", family: str = "linux", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """``timestamp(ms), event_type, pid, comm, filename, protocol`` -> ECS structs (+ ``keep`` columns)."""
     is_drop = F.col("event_type") == NETWORK_DROP
     word = lambda drop, start: F.when(is_drop, drop).otherwise(start)
     rows = df.where(F.col("event_type").isin(NETWORK_DROP, PROCESS_START))
     return rows.select(
+        *keep,
         F.timestamp_millis("timestamp").alias("@timestamp"),
         F.struct(
             F.lit("event").alias("kind"),

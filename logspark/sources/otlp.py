@@ -56,13 +56,13 @@ def _service(resource: Column, value) -> Column:
     return F.coalesce(value(F.get(F.reverse(named), F.lit(0))["value"]), F.lit(UNKNOWN_SERVICE))
 
 
-def _nano_ms(nano: Column, now_ms: int) -> Column:
+def _nano_ms(nano: Column, now_ms: int | Column) -> Column:
     """Nanosecond text -> epoch ms; missing or zero means now."""
     value = nano.try_cast("decimal(38,0)").try_cast("long")
-    return F.when(value.isNull() | (value == 0), F.lit(now_ms)).otherwise(F.floor(value / 1_000_000))
+    return F.when(value.isNull() | (value == 0), F.lit(now_ms)).otherwise(F.call_function("div", value, F.lit(1_000_000)))
 
 
-def flatten_otlp_logs(df: DataFrame, column: str, now_ms: int) -> DataFrame:
+def flatten_otlp_logs(df: DataFrame, column: str, now_ms: int | Column) -> DataFrame:
     """resourceLogs -> ``timestamp, source, level, message, attributes``; source is the service name."""
     records = (
         df.select(F.from_json(F.col(column), _LOGS).alias("_d"))
@@ -85,12 +85,15 @@ def flatten_otlp_logs(df: DataFrame, column: str, now_ms: int) -> DataFrame:
     )
 
 
-def flatten_otlp_spans(df: DataFrame, column: str, now_ms: int, mode: str = "collector") -> DataFrame:
+def flatten_otlp_spans(
+    df: DataFrame, column: str, now_ms: int | Column, mode: str = "collector", keep: tuple[str, ...] = ()
+) -> DataFrame:
     """resourceSpans -> span rows.
 
     ``collector``: status OK / ERROR, duration never negative, typed attribute values.
     ``raw``: the status code as sent (default STATUS_CODE_UNSET), duration as is and 0 when an end
-    is missing. Consumers that count errors accept both spellings (``is_error``).
+    is missing. Consumers that count errors accept both spellings (``is_error``). Columns named in
+    ``keep`` are carried along.
     """
     if mode not in ("collector", "raw"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -98,10 +101,10 @@ def flatten_otlp_spans(df: DataFrame, column: str, now_ms: int, mode: str = "col
     value = _typed if collector else _loose
     service_value = (lambda v: F.get_json_object(v, "$.stringValue")) if collector else _loose
     spans = (
-        df.select(F.from_json(F.col(column), _SPANS).alias("_d"))
-        .select(F.explode("_d.resourceSpans").alias("_r"))
-        .select(_service(F.col("_r.resource"), service_value).alias("service_name"), F.explode("_r.scopeSpans").alias("_s"))
-        .select("service_name", F.explode("_s.spans").alias("_p"))
+        df.select(*keep, F.from_json(F.col(column), _SPANS).alias("_d"))
+        .select(*keep, F.explode("_d.resourceSpans").alias("_r"))
+        .select(*keep, _service(F.col("_r.resource"), service_value).alias("service_name"), F.explode("_r.scopeSpans").alias("_s"))
+        .select(*keep, "service_name", F.explode("_s.spans").alias("_p"))
     )
     start_ms = _nano_ms(F.col("_p.startTimeUnixNano"), now_ms)
     end_ms = _nano_ms(F.col("_p.endTimeUnixNano"), now_ms)
@@ -126,6 +129,7 @@ def flatten_otlp_spans(df: DataFrame, column: str, now_ms: int, mode: str = "col
     )
     text = lambda name: F.coalesce(F.col(f"_p.{name}"), F.lit(""))
     return spans.select(
+        *keep,
         text("traceId").alias("trace_id"),
         text("spanId").alias("span_id"),
         F.nullif(F.col("_p.parentSpanId"), F.lit("")).alias("parent_span_id"),

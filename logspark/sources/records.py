@@ -37,7 +37,7 @@ def resolve_source(document: Column) -> Column:
     return F.coalesce(*found, F.lit(UNKNOWN_SOURCE))
 
 
-def to_log_table(df: DataFrame, column: str, tenant: Column | str, now_ms: int) -> DataFrame:
+def to_log_table(df: DataFrame, column: str, tenant: Column | str, now_ms: int | Column) -> DataFrame:
     """JSON text -> the canonical log columns; the record is parsed once.
 
     Level defaults to INFO, message to the whole record; text that is no JSON becomes the message.
