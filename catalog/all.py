@@ -1,3 +1,3 @@
 """Imports every section, which registers its queries."""
 
-from catalog import ingest, text  # noqa: F401
+from catalog import aggregates, ingest, search, text  # noqa: F401

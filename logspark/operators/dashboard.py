@@ -134,4 +134,4 @@ def service_graph_nodes(links: DataFrame) -> DataFrame:
 def slo_budget_percent(status: DataFrame) -> DataFrame:
     """Share of the error budget left, never negative; 100 when there is no budget to measure."""
     share = F.try_divide(F.col("error_budget_remaining"), F.col("error_budget_total")) * 100
-    return status.withColumn("budget_percent", F.coalesce(F.greatest(F.lit(0.0), share), F.lit(100.0)))
+    return status.withColumn("budget_percent", F.when(share.isNull(), 100.0).otherwise(F.greatest(F.lit(0.0), share)))
