@@ -1,3 +1,3 @@
 """Imports every section, which registers its queries."""
 
-from catalog import aggregates, ingest, relations, search, text  # noqa: F401
+from catalog import aggregates, ingest, relations, scoring, search, streams, text, vectors  # noqa: F401

@@ -77,7 +77,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT vec_id AS id, embedding::DOUBLE[] AS vector, label, 'template ' || vec_id AS template FROM embeddings"""),
     "base": (("vecs",), """
         SELECT label AS cluster_id, list(x ORDER BY i) AS vector FROM (
-            SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM vecs WHERE id % 2 = 0)
+            SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM vecs)
             GROUP BY label, i) GROUP BY label"""),
     "norm": ((), None),  # filled in catalog.text: documents with their template
     "snap": (("norm",), """

@@ -385,17 +385,17 @@ def baseline_rows(spark, sf):
     from logspark.operators.vectors import centroids
 
     v = V.vectors(spark, sf)
-    centers = centroids(v.where(F.col("id") % 2 == 0)).withColumn("cluster_id", F.when(F.col("cluster_id") == 0, -1).otherwise(F.col("cluster_id")))
+    centers = centroids(v).withColumn("cluster_id", F.when(F.col("cluster_id") == 0, -1).otherwise(F.col("cluster_id")))
     clusters = centers.select("cluster_id", F.col("members").alias("size"), F.concat(F.lit("template "), s("cluster_id")).alias("representative_template"),
                               F.concat(F.lit("raw "), s("cluster_id")).alias("representative_raw"))
     return B.baseline_build(clusters, centers)
 
 
 SQL_BASELINE = """SELECT label AS cluster_id, count(*) AS size, 'template ' || label AS representative_template, CAST(NULL AS VARCHAR) AS label, false AS is_acknowledged
-    FROM (SELECT label FROM vecs WHERE id % 2 = 0 AND label <> 0) GROUP BY label"""
+    FROM (SELECT label FROM vecs WHERE label <> 0) GROUP BY label"""
 
 
-@entry("B09_baseline_build", "SELECT count(DISTINCT label) AS cluster_count, count(*) AS logs_processed, 64 AS dim FROM vecs WHERE id % 2 = 0 AND label <> 0")
+@entry("B09_baseline_build", "SELECT count(DISTINCT label) AS cluster_count, count(*) AS logs_processed, 64 AS dim FROM vecs WHERE label <> 0")
 def _(spark, sf):
     rows, meta = baseline_rows(spark, sf)
     path = scratch_path(spark, "baseline")

@@ -203,7 +203,16 @@ def _(spark, sf):
     return R.drift_candidates(*snapshots(spark, sf))
 
 
-@entry("G13_drift_pairs")
+SQL_MATCHED = SQL_CANDIDATES + """,
+    seq AS (SELECT ord_a, row_number() OVER (ORDER BY ord_a) AS i FROM (SELECT DISTINCT ord_a FROM cand)),
+    opts AS (SELECT i, cand.ord_a, list({'b': ord_b, 's': sim} ORDER BY sim DESC, ord_b) AS o FROM cand JOIN seq USING (ord_a) GROUP BY ALL),
+    walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS INTEGER) AS ord_a, CAST(NULL AS INTEGER) AS ord_b, CAST([] AS INTEGER[]) AS used
+        UNION ALL SELECT i, ord_a, b, CASE WHEN b IS NULL THEN used ELSE list_append(used, b) END FROM (
+            SELECT opts.i, opts.ord_a, list_filter(o, lambda x: NOT list_contains(used, x.b))[1].b AS b, used FROM walk JOIN opts ON opts.i = walk.i + 1)),
+    matched AS (SELECT walk.ord_a, walk.ord_b, sim FROM walk JOIN cand ON cand.ord_a = walk.ord_a AND cand.ord_b = walk.ord_b)"""
+
+
+@entry("G13_drift_pairs", f"WITH RECURSIVE {SQL_MATCHED} SELECT ord_a, ord_b, sim FROM matched")
 def _(spark, sf):
     return R.drift_pairs(*snapshots(spark, sf))
 
@@ -264,7 +273,6 @@ def _(spark, sf):
     return E.top_clusters(clusters_of(spark, sf)[0], 7).select("cluster_id", "size")
 
 
-@entry("H06_max_priority", "SELECT run_id, min(severity) AS max_priority, true AS alerts, min(severity) <= 'P1' AS mails FROM incidents WHERE run_id = '7' GROUP BY 1")
+@entry("H06_max_priority", "SELECT min(severity) AS max_priority, min(severity) <= 'P2' AS alerts, min(severity) <= 'P1' AS mails FROM incidents")
 def _(spark, sf):
-    run = V.incidents(spark, sf).where("run_id = '7'").withColumnRenamed("severity", "priority")
-    return H.max_priority(run).withColumn("run_id", F.lit("7"))
+    return H.max_priority(V.incidents(spark, sf).withColumnRenamed("severity", "priority"))

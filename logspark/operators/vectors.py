@@ -285,7 +285,7 @@ def nearest_centroid(
 
         from pyspark.sql.types import DoubleType, LongType, StructType
 
-        out = StructType(schema.fields).add("nearest_id", LongType()).add("distance", DoubleType())
+        out = StructType(list(schema.fields)).add("nearest_id", LongType()).add("distance", DoubleType())
         return vectors.mapInPandas(score, out)
     return _nearest_chunked(vectors, centers, metric, broadcast_limit)
 
