@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logspark.functions.search import search_condition
-from logspark.functions.timing import at_ms
+from logspark.functions.timing import DAY_MS, at_ms
 
 # Relative window units in seconds and the widest window.
 WINDOW_UNITS = {"m": 60, "h": 3600, "d": 86_400, "w": 604_800}
@@ -17,11 +17,18 @@ WINDOW_LIMIT_S = 366 * 86_400
 
 
 def time_between(df: DataFrame, from_ms: int | None = None, to_ms: int | None = None, column: str = "timestamp") -> DataFrame:
-    """Both ends inclusive, either may be open; literals fold, so the bounds reach the scan."""
+    """Both ends inclusive, either may be open; literals fold, so the bounds reach the scan.
+
+    Tables with the UTC ``date`` partition column are cut to the days of the range as well.
+    """
+    day = lambda value: F.date_from_unix_date(F.lit(value // DAY_MS).cast("int"))
+    by_day = ("date", "date") in df.dtypes and column in ("timestamp", "start_time")
     if from_ms is not None:
         df = df.where(F.col(column) >= at_ms(from_ms))
+        df = df.where(F.col("date") >= day(from_ms)) if by_day else df
     if to_ms is not None:
         df = df.where(F.col(column) <= at_ms(to_ms))
+        df = df.where(F.col("date") <= day(to_ms)) if by_day else df
     return df
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from logspark.functions.timing import DAY_MS, at_ms, ms
 
@@ -37,9 +38,13 @@ def write_spans(df: DataFrame, path: str, tenant: str | None = None, mode: str =
 
 
 def read_stored(spark: SparkSession, path: str) -> DataFrame:
-    """A table written by ``write_logs`` / ``write_spans``; tenant ids stay text."""
-    stored = spark.read.parquet(path)
-    return stored.withColumn("tenant_id", F.col("tenant_id").cast("string")).drop("date")
+    """A table written by ``write_logs`` / ``write_spans``; tenant ids stay text, whatever they look like.
+
+    The ``date`` partition column stays: ``time_between`` uses it to skip whole days.
+    """
+    found = spark.read.parquet(path).schema
+    typed = StructType([StructField(f.name, StringType()) if f.name == "tenant_id" else f for f in found.fields])
+    return spark.read.schema(typed).parquet(path)
 
 
 def apply_retention(df: DataFrame, tenants: DataFrame, now_ms: int, time: str = "timestamp") -> DataFrame:
