@@ -299,7 +299,7 @@ def _nearest_chunked(vectors: DataFrame, centers: DataFrame, metric: str, chunk_
     held = centers.select(
         F.col("cluster_id").cast("long").alias("cluster_id"), F.col("vector").cast("array<double>"),
         F.pmod(F.xxhash64("cluster_id"), F.lit(chunks)).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
     )
     match = _nearest_local
 

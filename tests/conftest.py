@@ -12,7 +12,7 @@ from logspark.session import local_session  # noqa: E402
 def spark(tmp_path_factory):
     session = local_session(4, "tests")
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     session.conf.set("spark.sql.maxMetadataStringLength", "2000")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
