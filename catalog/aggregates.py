@@ -11,7 +11,7 @@ from logspark import views as V
 from logspark.functions.text import normalise
 from logspark.functions.timing import at_ms
 from logspark.operators import aggregate as E, dashboard as D, slo as J
-from logspark.operators.scoring import severity
+from logspark.session import cut_lineage
 
 NOW, ONOW = V.EVENTS_NOW_MS, V.ORDERS_NOW_MS
 
@@ -68,7 +68,7 @@ def _(spark, sf):
     SELECT count(*) AS raw_lines, count(DISTINCT template) AS templates, count(DISTINCT length(template) % 50) AS clusters,
            1.0::DOUBLE - count(DISTINCT length(template) % 50) / count(*) AS reduction_ratio FROM norm""")
 def _(spark, sf):
-    t = E.dedupe_templates(normalised(spark, sf))
+    t = cut_lineage(E.dedupe_templates(normalised(spark, sf)))
     return E.run_summary(t, t.select((F.length("template") % 50).alias("cluster_id")).distinct()).withColumn("reduction_ratio", F.col("reduction_ratio").cast("double"))
 
 
@@ -163,10 +163,16 @@ def _(spark, sf):
     return r.select("run_count", "total_lines", F.round("avg_reduction", 6).alias("avg_reduction"), F.round("avg_duration", 6).alias("avg_duration"))
 
 
-def clusters_of(spark, sf):
-    """Documents grouped into clusters by template length (cluster -1 = lengths divisible by 40)."""
+def clustered_documents(spark, sf):
+    """Documents with a cluster id from the template length (-1 = lengths divisible by 40)."""
     cluster = F.when(F.length("normalized_text") % 40 == 0, -1).otherwise(F.length("normalized_text") % 40)
-    n = normalised(spark, sf).withColumn("cluster_id", cluster.cast("int"))
+    # the templates are read several times by what follows: normalise once
+    return cut_lineage(normalised(spark, sf).withColumn("cluster_id", cluster.cast("int")))
+
+
+def clusters_of(spark, sf):
+    """Clusters and members of the documents."""
+    n = clustered_documents(spark, sf)
     members = n.groupBy("cluster_id", F.col("normalized_text").alias("template")).agg(F.count("*").alias("n"))
     first = F.min_by(F.struct("normalized_text", "raw_text", "source", "line_number"), "line_number")
     clusters = n.groupBy("cluster_id").agg(F.count("*").alias("size"), first.alias("f"), F.countDistinct("normalized_text").alias("templates")).select(

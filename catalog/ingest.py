@@ -8,7 +8,7 @@ from catalog.base import alerts, as_ms, entry, slos, tenants
 from logspark import views as V
 from logspark.functions.timing import at_ms, coerce_event_ms, extract_timestamp_ms
 from logspark.operators import storage as B
-from logspark.session import scratch_path
+from logspark.session import scratch_path, spread
 from logspark.sources import files as A
 from logspark.sources.kernel import kernel_events_to_ecs
 from logspark.sources.otlp import flatten_otlp_logs, flatten_otlp_spans
@@ -26,7 +26,7 @@ def _iso_text():
 
 def plain_lines(spark, sf):
     """Events as ``ts LEVEL [source] msg`` lines; every seventh is free text, every ninth has a bad time."""
-    e = V.events(spark, sf)
+    e = spread(V.events(spark, sf), "event_id")
     stamp = F.when(F.col("event_id") % 9 == 0, F.lit("2024-13-41T00:00:00Z")).otherwise(F.concat(_iso_text(), F.lit("Z")))
     line = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("free text "), s("k"))).otherwise(
         F.concat(stamp, F.lit(" "), F.lower("level"), F.lit(" ["), F.col("service"), F.lit("] "), V.message())
@@ -41,7 +41,7 @@ _PLAIN = """(CASE WHEN event_id % 7 = 0 THEN 'free text ' || k ELSE
 
 def json_lines(spark, sf):
     """Events as JSON lines: message, msg or neither; every fifth line is no JSON."""
-    e = V.events(spark, sf)
+    e = spread(V.events(spark, sf), "event_id")
     k = F.col("event_id") % 5
     body = F.concat(F.lit('{"level":"'), F.col("level"), F.lit('","'), F.when(k == 0, "message").when(k == 1, "msg").otherwise("note"), F.lit('":"'), V.message(), F.lit('"}'))
     line = F.when(k == 4, F.concat(F.lit("not json "), s("k"))).when(k == 3, F.concat(F.lit("{broken "), s("k"), F.lit("}"))).otherwise(body)
@@ -112,7 +112,7 @@ def _(spark, sf):
 
 
 def stamped_lines(spark, sf):
-    e = V.events(spark, sf)
+    e = spread(V.events(spark, sf), "event_id")
     text = F.col("ts").cast("string")
     k = F.col("event_id") % 9
     months = F.array(*[F.lit(m) for m in ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")])
@@ -155,7 +155,7 @@ def shipped(spark, sf):
         k == 8, F.concat(F.lit('{"kubernetes":{"labels":{"app":"'), name, F.lit('"}}}'))).when(
         k == 9, F.concat(F.lit('{"service":"   ","app":"'), name, F.lit('"}'))).when(
         k == 10, F.concat(F.lit('{"source":["x"],"service":'), s("k"), F.lit("}"))).otherwise(body)
-    return V.events(spark, sf).select("event_id", body.alias("body"))
+    return spread(V.events(spark, sf), "event_id").select("event_id", body.alias("body"))
 
 
 @entry("A08_resolve_source", "SELECT event_id, CASE WHEN event_id % 12 = 11 THEN 'unknown' WHEN event_id % 12 = 10 THEN CAST(k AS VARCHAR) ELSE service END AS source FROM ev")
@@ -175,7 +175,7 @@ def _(spark, sf):
 
 def records(spark, sf):
     """Full JSON records; some lack level, message or time."""
-    e = V.events(spark, sf)
+    e = spread(V.events(spark, sf), "event_id")
     k = F.col("event_id") % 4
     field = lambda on, text: F.when(on, text).otherwise(F.lit(""))
     body = F.concat(
@@ -208,7 +208,7 @@ def _attr(key, value, kind="stringValue"):
 
 def otlp_logs(spark, sf):
     """One resourceLogs document per service and day."""
-    e = V.events(spark, sf)
+    e = spread(V.events(spark, sf), "event_id")
     record = F.struct(
         (F.col("ts_ms") * 1_000_000).cast("string").alias("timeUnixNano"),
         F.when(F.col("k") % 3 != 0, F.lower("level")).alias("severityText"),

@@ -10,7 +10,7 @@ from logspark import views as V
 from logspark.functions.text import text_key
 from logspark.functions.timing import at_ms
 from logspark.operators import aggregate as E, drift as R, intervals as I, relations as G, windows as H
-from logspark.operators.vectors import embed_templates
+from logspark.session import cut_lineage
 
 NOW = V.EVENTS_NOW_MS
 WINDOW = 60_000
@@ -162,7 +162,7 @@ def _(spark, sf):
 
 @entry("G11_unseen_templates", "SELECT DISTINCT template FROM norm WHERE md5(template) NOT IN (SELECT md5(template) FROM norm WHERE doc_id % 3 = 0)")
 def _(spark, sf):
-    n = normalised(spark, sf)
+    n = cut_lineage(normalised(spark, sf))
     seen = n.where(F.col("line_number") % 3 == 0).select(text_key(F.col("normalized_text")).alias("text_key")).distinct()
     return G.unseen_templates(E.dedupe_templates(n), seen).select("template")
 
@@ -188,6 +188,7 @@ def snapshots(spark, sf):
         "run", F.row_number().over(W.partitionBy("run").orderBy(F.col("size").desc(), "template")).alias("ord"), "template", "size",
         ((F.length("template") % 100) / F.lit(100.0)).alias("anomaly_score"), F.concat(F.lit("P"), (F.length("template") % 4).cast("string")).alias("priority"),
     ).withColumn("cluster_id", F.col("ord"))
+    rows = cut_lineage(rows)
     return rows.where("run = 'a'").drop("run"), rows.where("run = 'b'").drop("run")
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.aggregates import _WINDOWED, SQL_ANOMALIES, SQL_CLUSTERS, anomalies_of, clusters_of, normalised
+from catalog.aggregates import _WINDOWED, SQL_ANOMALIES, SQL_CLUSTERS, anomalies_of, clustered_documents, clusters_of, normalised
 from catalog.base import alerts, as_ms, entry, slos
 from catalog.relations import SQL_LINKS, SQL_MATCHED, cluster_names, snapshots
 from catalog.text import quoted
 from logspark import views as V
 from logspark.functions import text as T
 from logspark.functions.timing import at_ms
+from logspark.session import cut_lineage
 from logspark.operators import aggregate as E, drift as R, intervals as I, scoring as S, slo as J
 
 NOW = V.EVENTS_NOW_MS
@@ -18,9 +19,8 @@ NOW = V.EVENTS_NOW_MS
 
 def document_links(spark, sf):
     """Clusters of documents linked to the sources their templates come from."""
-    n = normalised(spark, sf)
-    cluster = F.when(F.length("normalized_text") % 40 == 0, -1).otherwise(F.length("normalized_text") % 40)
-    return n.select(cluster.cast("int").alias("source_cluster_id"), F.col("source").alias("target_service")).distinct()
+    n = clustered_documents(spark, sf)
+    return n.select(F.col("cluster_id").alias("source_cluster_id"), F.col("source").alias("target_service")).distinct()
 
 
 @entry("J01_severity", f"""
@@ -88,7 +88,7 @@ def _(spark, sf):
         'Detected ' || c || ' distinct log patterns across ' || n || ' total events. Local analysis indicates potential pattern shifts.' AS summary
     FROM (SELECT count(*) AS n, count(DISTINCT length(template) % 7) AS c FROM norm)""")
 def _(spark, sf):
-    t = E.dedupe_templates(normalised(spark, sf))
+    t = cut_lineage(E.dedupe_templates(normalised(spark, sf)))
     summary = E.run_summary(t, t.select((F.length("template") % 7).alias("c")).distinct())
     return S.run_incident(summary, "r1").select("run_id", F.col("impact_score").cast("double").alias("impact_score"), "total_logs", "cluster_count", "summary")
 

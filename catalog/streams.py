@@ -17,7 +17,7 @@ from logspark.operators.aggregate import dedupe_templates
 from logspark.operators.vectors import centroids
 from logspark.plans.analysis import analyze, build_baseline, compare_runs, merge_baseline
 from logspark.plans.explorer import log_explorer
-from logspark.session import scratch_path
+from logspark.session import scratch_path, spread
 from logspark.streaming import ingest as K, state as KS
 
 NOW = V.EVENTS_NOW_MS
@@ -154,7 +154,7 @@ def _(spark, sf):
 
 def event_lines(spark, sf):
     """Events as raw log lines of ten services, with words that differ per action."""
-    e = V.events(spark, sf)
+    e = spread(V.events(spark, sf), "event_id")
     iso = F.concat(F.substring(F.col("ts").cast("string"), 1, 10), F.lit("T"), F.substring(F.col("ts").cast("string"), 12, 8), F.lit("Z "))
     words = F.when(F.col("event_type") == "error", "connection refused by upstream, request failed").when(
         F.col("event_type") == "view", "page rendered fine").when(F.col("event_type") == "signup", "new account created ok").otherwise("request processed")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import SQL_VIEWS, alerts, entry
 from logspark import views as V
 from logspark.functions import text as T
+from logspark.session import spread
 
 
 def quoted(text: str) -> str:
@@ -34,7 +35,7 @@ SQL_VIEWS["norm"] = ((), f"SELECT doc_id, source, text, {sql_normalise('text')}
 
 def secrets(spark, sf):
     """Order rows as log lines that carry every kind of secret."""
-    o = V.table(spark, sf, "orders")
+    o = spread(V.table(spark, sf, "orders"), "o_orderkey")
     k, n = F.col("o_orderkey"), F.col("o_custkey").cast("string")
     padded = F.lpad(k.cast("string"), 9, "0")
     line = (

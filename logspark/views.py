@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logspark.functions.timing import at_ms, ntz_ms
+from logspark.session import spread
 
 EVENTS_NOW_MS = 1_706_659_200_000  # 2024-01-31 00:00:00 UTC
 ORDERS_NOW_MS = 996_710_400_000  # 2001-08-02 00:00:00 UTC
@@ -132,7 +133,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    """Texts; spread, because every use of them runs regular expressions over whole texts."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
