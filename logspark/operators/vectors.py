@@ -24,8 +24,8 @@ PRESETS = {
     "security": {"min_cluster_size": 3, "min_samples": 2, "low": 0.40, "medium": 0.55, "high": 0.70},
     "performance": {"min_cluster_size": 10, "min_samples": 5, "low": 0.60, "medium": 0.75, "high": 0.90},
 }
-# Largest set of centroids sent to every task (64 MB at 64 dimensions in float64).
-BROADCAST_CENTROIDS = 100_000
+# Largest set of centroids sent to every task (100 MB at 256 dimensions in float64).
+BROADCAST_CENTROIDS = 50_000
 
 
 def embed_templates(templates: DataFrame, dim: int = 256, column: str = "template") -> DataFrame:
@@ -266,14 +266,12 @@ def nearest_centroid(
     match = _nearest_local
     schema = vectors.schema
     if size <= broadcast_limit:
-        local = sorted(few.collect(), key=lambda r: r[0])
-        shared = vectors.sparkSession.sparkContext.broadcast(([r[0] for r in local], [r[1] for r in local]))
+        shared = vectors.sparkSession.sparkContext.broadcast(_as_arrays(few))
 
         def score(batches):
             import numpy as np
 
             ids, rows = shared.value
-            ids, rows = np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64)
             for pdf in batches:
                 if not len(pdf) or not len(ids):
                     pdf["nearest_id"], pdf["distance"] = None, None
@@ -290,6 +288,17 @@ def nearest_centroid(
     return _nearest_chunked(vectors, centers, metric, broadcast_limit)
 
 
+def _as_arrays(centers: DataFrame):
+    """(ids, matrix) of a bounded set of centroids, in id order."""
+    import numpy as np
+
+    table = centers.toArrow()
+    ids = table["cluster_id"].to_numpy()
+    flat = table["vector"].combine_chunks().flatten().to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], flat.reshape(len(ids), -1)[order] if len(ids) else np.zeros((0, 0))
+
+
 def _nearest_chunked(vectors: DataFrame, centers: DataFrame, metric: str, chunk_rows: int, block_rows: int = 20_000) -> DataFrame:
     """Nearest centroid when the centroids outgrow one task: blocks of vectors x chunks of centroids."""
     chunks = max(1, math.ceil(centers.count() / chunk_rows))
