@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import alerts, as_ms, entry, slos, tenants
+from catalog.base import as_ms, entry, tenants
 from logspark import views as V
 from logspark.functions.timing import at_ms, coerce_event_ms, extract_timestamp_ms
 from logspark.operators import storage as B
@@ -12,7 +12,7 @@ from logspark.session import scratch_path, spread
 from logspark.sources import files as A
 from logspark.sources.kernel import kernel_events_to_ecs
 from logspark.sources.otlp import flatten_otlp_logs, flatten_otlp_spans
-from logspark.sources.records import SOURCE_KEYS, resolve_source, to_log_table
+from logspark.sources.records import resolve_source, to_log_table
 
 NOW = V.EVENTS_NOW_MS
 s = lambda c: F.col(c).cast("string")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.aggregates import SQL_ANOMALIES, SQL_CLUSTERS, anomalies_of, clusters_of, normalised, service_links
-from catalog.base import SQL_VIEWS, alerts, as_ms, entry, slos
+from catalog.aggregates import SQL_ANOMALIES, SQL_CLUSTERS, anomalies_of, clusters_of, normalised
+from catalog.base import SQL_VIEWS, alerts, as_ms, entry
 from logspark import views as V
 from logspark.functions.text import text_key
 from logspark.functions.timing import at_ms

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from catalog.aggregates import normalised
 from catalog.base import alerts, as_ms, entry
 from catalog.ingest import _MESSAGE, SQL_RECORDS, otlp_traces, records
 from catalog.relations import SQL_MATCHED, snapshots
-from catalog.text import sql_normalise, sql_redact
 from logspark import views as V
 from logspark.functions.text import mask_pattern
 from logspark.functions.timing import at_ms

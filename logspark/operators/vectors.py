@@ -13,8 +13,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from logspark.functions.text import template_tokens
-from logspark.operators.aggregate import first_seen
 from logspark.operators.components import connected_components
 from logspark.session import cut_lineage
 

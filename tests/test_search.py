@@ -1,6 +1,6 @@
 import pytest
 
-from logspark.functions.search import field_match, search_condition
+from logspark.functions.search import field_match
 from logspark.operators import filters as C
 
 ROWS = [

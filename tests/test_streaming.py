@@ -1,6 +1,5 @@
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from logspark.functions.timing import at_ms
 from logspark.operators.aggregate import extract_metrics
