@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logspark.llm import decontaminate, exact_dedup, line_dedup, mixing, secrets, sharding
+from logspark.llm import decontaminate, exact_dedup, line_dedup, mixing, secrets, sharding, substring
 from logspark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,18 @@ _LINE_KEY = f"translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12
     FROM marked GROUP BY doc_id""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.col("sha256").alias("kept_sha256"))
+
+
+@query("op10_substring_dedup", r"""
+    WITH words AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+         spots AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)),
+         firsts AS (SELECT win, min(doc_id) AS first FROM spots GROUP BY win HAVING count(DISTINCT doc_id) > 1),
+         gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM spots JOIN firsts USING (win) WHERE doc_id > first),
+         every AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words),
+         marked AS (SELECT e.doc_id, e.p, word, g.p IS NOT NULL AS removed FROM every e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p),
+         per AS (SELECT doc_id, count(*) FILTER (WHERE removed) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT removed) AS kept FROM marked GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM words LEFT JOIN per USING (doc_id)""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring.drop_repeated_windows(table(spark, sf_dir, "documents"), n=13)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -38,7 +38,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Polynomial hash of values[start:end] for each span, from one prefix sum."""
     total = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * powers(base, len(values)), out=total[1:])
@@ -84,14 +84,14 @@ class Words:
 
     def hashes(self, which: int = 0) -> np.ndarray:
         """64-bit hash of every word."""
-        return mix(_spans_hash(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends, BASES[which]))
+        return mix(spans_hash(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends, BASES[which]))
 
     def windows(self, n: int, words: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every run of ``n`` consecutive words inside a row."""
         at = np.arange(max(0, len(words) - n + 1))
         row = self.row_of()
         at = at[row[at] == row[at + n - 1]] if len(at) else at
-        return at, mix(_spans_hash(words, at, at + n, BASES[1 - which]))
+        return at, mix(spans_hash(words, at, at + n, BASES[1 - which]))
 
     def text(self, i: int, j: int) -> bytes:
         """Words i to j-1 joined by one space."""
