@@ -18,6 +18,7 @@ SHINGLE = 5
 TABLES = 12
 MINIMA = 3
 LEAST = 0.8
+FULL_TURNS = 4
 
 
 class Shingles:
@@ -164,17 +165,19 @@ def _texts(rows: DataFrame, asked: DataFrame) -> DataFrame:
 def near_links(sketched: DataFrame, texts: DataFrame, tables: int, size: int, least: float) -> DataFrame:
     """``a, b, similarity`` between distinct texts, enough to connect every group.
 
-    In each bucket all members are aligned with one leader, which is linear in the bucket. Members that
-    the leader does not match go on with a longer key (the bucket and the sketch of the next table), once
-    more together with those that it did match; this ends when no bucket has two members. Buckets of
-    texts that share a common passage thus fall apart by themselves, and none is ever listed by pairs.
+    In each bucket all members are aligned with one leader, which is linear in the bucket. For
+    ``FULL_TURNS`` turns a bucket that still has unmatched members takes one of them as the next leader for
+    all others, so a text that matches some members but not their first leader is found; the order of
+    leaders is another one in every table. From then on only unmatched members go on, under a longer key
+    (the bucket and the sketch of the next table), until no bucket has two. Buckets of texts that
+    share a common passage thus fall apart by themselves, and none is ever listed by pairs.
     """
     alike = cut_lineage(sketched.select("node", "n", F.posexplode("keys").alias("t", "bucket")).withColumn("linked", F.lit(False)))
     seen = links = None
     turn = 0
     while True:
         turn += 1
-        head = F.min(F.struct("linked", "node", "n"))
+        head = F.min(F.struct("linked", F.xxhash64("node", "t", F.lit(turn)).alias("order"), "node", "n"))
         leaders = cut_lineage(alike.groupBy("bucket").agg(head.alias("h"), F.count("*").alias("m")).where("m > 1 AND NOT h.linked").select(
             F.col("bucket").alias("of"), F.col("h.node").alias("leader"), F.col("h.n").alias("leader_n")))
         members = cut_lineage(alike.join(leaders, (F.col("bucket") == F.col("of")) & (F.col("node") != F.col("leader"))).drop("of"))
@@ -192,14 +195,14 @@ def near_links(sketched: DataFrame, texts: DataFrame, tables: int, size: int, le
         good = scored.where(F.col("similarity") >= least)
         links = good if links is None else cut_lineage(links.unionByName(good))
         hit = links.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.lit(True).alias("hit"))
-        left = cut_lineage(members.join(hit, ["leader", "node"], "left").select("bucket", "t", "node", "n", F.coalesce("hit", F.lit(False)).alias("linked")))
+        left = cut_lineage(members.join(hit, ["leader", "node"], "left").select("bucket", "t", "node", "n", (F.col("linked") | F.coalesce("hit", F.lit(False))).alias("linked")))
         mixed = cut_lineage(left.groupBy("bucket").agg(F.bool_and("linked").alias("done")).where("NOT done").select(F.col("bucket").alias("of")))
-        if turn > 1:
-            left = left.where("NOT linked")
         left = left.join(mixed, F.col("bucket") == F.col("of")).drop("of")
-        left = left.join(sketched.select("node", "keys"), "node")
-        longer = F.xxhash64("bucket", F.element_at("keys", (F.col("t") + turn) % tables + 1))
-        alike = cut_lineage(left.select("node", "n", "t", longer.alias("bucket"), "linked"))
+        if turn >= FULL_TURNS:
+            left = left.where("NOT linked").join(sketched.select("node", "keys"), "node")
+            longer = F.xxhash64("bucket", F.element_at("keys", (F.col("t") + turn) % tables + 1))
+            left = left.select("node", "n", "t", longer.alias("bucket"), "linked")
+        alike = cut_lineage(left.select("node", "n", "t", "bucket", "linked"))
     return links
 
 
