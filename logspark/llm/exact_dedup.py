@@ -28,11 +28,9 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     size, head = F.octet_length(text), F.xxhash64(lower_ascii(F.substring(text, 1, prefix)))
-    keys = cut_lineage(docs.select(size.alias("size"), head.alias("head")))
-    sizes = cut_lineage(keys.groupBy("size").count().where("count > 1").select("size"))
-    heads = cut_lineage(
-        keys.join(sizes, "size", "left_semi").groupBy("size", "head").count().where("count > 1").select("size", "head", F.lit(True).alias("shared"))
-    )
+    keys = cut_lineage(docs.groupBy(size.alias("size"), head.alias("head")).agg(F.count("*").alias("n")))
+    sizes = cut_lineage(keys.groupBy("size").agg(F.sum("n").alias("n")).where("n > 1").select("size"))
+    heads = cut_lineage(keys.where("n > 1").join(sizes, "size", "left_semi").select("size", "head", F.lit(True).alias("shared")))
     full = F.unhex(F.sha2(lower_ascii(F.col("text")), 256))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), size.alias("size"), head.alias("head")).join(heads, ["size", "head"], "left")
     hashed = cut_lineage(rows.select(
