@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logspark.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, secrets, sharding, substring, toxicity
+from logspark.llm import chat, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, secrets, sharding, substring, toxicity
 from logspark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_toxicity")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_chat_format", f"""
+    WITH msgs AS (SELECT conv_id, turn, CASE WHEN role <> 'system' THEN role END AS speaker, coalesce(text, '') AS t, count(*) AS n FROM conversations GROUP BY ALL),
+         who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM msgs WHERE speaker IS NOT NULL),
+         each AS (SELECT m.conv_id, perspective, turn, speaker, n, coalesce(speaker = perspective, false) AS own, t || '<|im_end|>' || chr(10) AS body,
+                         '<|im_start|>' || CASE WHEN speaker IS NULL THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head
+                  FROM msgs m JOIN who ON m.conv_id IS NOT DISTINCT FROM who.conv_id),
+         placed AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker NULLS FIRST, head || body
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM each),
+         parts AS (SELECT *, start // {chat.PART_CHARS} AS part, min(start) OVER (PARTITION BY conv_id, perspective, start // {chat.PART_CHARS}) AS base FROM placed)
+    SELECT conv_id, perspective, CAST(part AS BIGINT) AS part, count(*) AS n_messages, CAST(sum(n) AS BIGINT) AS n_rows, string_agg(head || body, '' ORDER BY start) AS text,
+           coalesce(string_agg(CAST(CAST(start - base + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(start - base + length(head) + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY start) FILTER (WHERE own), '') AS loss_spans
+    FROM parts GROUP BY conv_id, perspective, part""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chat.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("loss", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return made.withColumn("loss_spans", spans).drop("loss")
