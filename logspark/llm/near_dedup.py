@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from logspark.llm.words import ALNUM, BASES, Words, mix, pieces, spans_hash
 from logspark.session import cut_lineage, scratch_path
@@ -125,7 +125,7 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 def _align(size: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "a_text", 2 << 20):
+        for batch in pieces(batches, "a_text", 1 << 19):
             a, b = (Shingles(Words(batch.column(c), ALNUM, lower=True), size) for c in ("a_text", "b_text"))
             score = [aligned(a.label[a.first[i] : a.first[i + 1]], b.label[b.first[i] : b.first[i + 1]], least) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(score, pa.float64())], ["a", "b", "similarity"])
@@ -251,3 +251,15 @@ def near_classes(
     return out.select(
         F.col("id").alias(id_col), F.col("rep").alias("class_id"), F.col("copies").cast("long").alias("class_size"), F.col("id").eqNullSafe(F.col("rep")).alias("kept"),
     )
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:
+    """``docs`` with one row of each class: that of the least id, all columns as they were.
+
+    Of rows that repeat that id with the same text one stays; an id repeated with other texts stays if any of its
+    texts leads a class.
+    """
+    kept = near_classes(docs, id_col, text_col, **named).where("kept").select(F.col(id_col).alias("_kept")).distinct()
+    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept"))).drop("_kept")
+    again = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
+    return rows.withColumn("_nth", F.row_number().over(again)).where("_nth = 1").drop("_nth")

@@ -165,3 +165,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chat.perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("loss", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return made.withColumn("loss_spans", spans).drop("loss")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
