@@ -225,14 +225,14 @@ def _(spark, sf):
     w AS (SELECT cluster_id, max(distance) AS worst_distance, arg_max(label, distance) AS label FROM m JOIN an USING (template) GROUP BY 1)
     SELECT CASE WHEN cluster_id = -1 THEN 'NOISE' ELSE CAST(cluster_id AS VARCHAR) END AS cluster, size,
            coalesce(label, CASE WHEN cluster_id = -1 THEN 'OUTLIER' ELSE '-' END) AS label, worst_distance, representative_source || ':' || representative_line AS location,
-           CASE WHEN length(t) > 200 THEN substr(t, 1, 197) || '...' ELSE t END AS text
+           t AS text
     FROM (SELECT *, replace(representative_raw, chr(10), ' ') AS t FROM top LEFT JOIN w USING (cluster_id))""")
 def _(spark, sf):
     clusters, members = clusters_of(spark, sf)
     return E.cluster_report(clusters, members, anomalies_of(members), 10)
 
 
-@entry("E23_anomaly_gate", f"WITH {SQL_ANOMALIES} SELECT 3 AS worst_rank, 'high_risk_anomaly' AS worst_label, count(*) FILTER (WHERE label = 'high_risk_anomaly' OR label = 'new_pattern') > 0 AS failed FROM an")
+@entry("E23_anomaly_gate", f"WITH {SQL_ANOMALIES} SELECT max(CASE label WHEN 'known' THEN 0 WHEN 'rare_known' THEN 1 WHEN 'new_pattern' THEN 2 ELSE 3 END) AS worst_rank, arg_max(label, distance) AS worst_label, count(*) FILTER (WHERE label = 'high_risk_anomaly' OR label = 'new_pattern') > 0 AS failed FROM an")
 def _(spark, sf):
     return E.anomaly_gate(anomalies_of(clusters_of(spark, sf)[1]), "new_pattern")
 
@@ -250,10 +250,10 @@ def _(spark, sf):
 
 
 @entry("F02_incidents_per_day", f"""
-    WITH d AS (SELECT unnest(generate_series({ONOW // 86_400_000 - 14}, {ONOW // 86_400_000})) AS day)
-    SELECT day * 86400000 AS day_ms, count(i.id) AS incidents FROM d LEFT JOIN incidents i ON i.created_ms // 86400000 = day AND i.created_ms >= {ONOW - 14 * 86_400_000} GROUP BY 1""")
+    WITH d AS (SELECT unnest(generate_series({ONOW // 86_400_000 - 200}, {ONOW // 86_400_000})) AS day)
+    SELECT day * 86400000 AS day_ms, count(i.id) AS incidents FROM d LEFT JOIN incidents i ON i.created_ms // 86400000 = day AND i.created_ms >= {ONOW - 200 * 86_400_000} GROUP BY 1""")
 def _(spark, sf):
-    return D.incidents_per_day(V.incidents(spark, sf), ONOW)
+    return D.incidents_per_day(V.incidents(spark, sf), ONOW, ONOW - 200 * 86_400_000)
 
 
 @entry("F03_incidents_by_domain", "SELECT coalesce(domain, 'unknown') AS label, count(*) AS incidents FROM incidents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
@@ -268,7 +268,7 @@ def _(spark, sf):
 
 @entry("F05_incident_heatmap", f"""
     WITH c AS (SELECT isodow(to_timestamp(created_ms / 1000) AT TIME ZONE 'UTC') - 1 AS day, created_ms % 86400000 // 3600000 AS hour, count(*) AS incidents
-        FROM incidents WHERE created_ms >= {ONOW - 90 * 86_400_000} GROUP BY 1, 2)
+        FROM incidents WHERE created_ms >= {ONOW - 365 * 86_400_000} GROUP BY 1, 2)
     SELECT CAST(day AS BIGINT) AS day, CAST(hour AS BIGINT) AS hour, incidents, (SELECT max(incidents) FROM c) AS max_cell FROM c""")
 def _(spark, sf):
     return D.incident_heatmap(V.incidents(spark, sf), ONOW, 365)
@@ -285,7 +285,7 @@ def _(spark, sf):
     return D.incident_pie(V.incidents(spark, sf), "status")
 
 
-@entry("F06_incident_pie_domain", "SELECT coalesce(domain, 'unknown') AS label, count(*) AS incidents FROM incidents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6")
+@entry("F06_incident_pie_domain", "SELECT coalesce(domain, 'unknown') AS label, count(*) AS incidents FROM incidents GROUP BY 1")
 def _(spark, sf):
     return D.incident_pie(V.incidents(spark, sf), "domain")
 
@@ -298,7 +298,7 @@ def _(spark, sf):
 _TAIL = "SELECT timestamp, cpu_percent AS cpu, memory_percent AS mem, disk_iops AS disk, network_drops AS net FROM telemetry ORDER BY timestamp DESC, network_errors DESC LIMIT {}"
 
 
-@entry("F08_vitals_tail", _TAIL.format(120))
+@entry("F08_vitals_tail", _TAIL.format(500))
 def _(spark, sf):
     return D.vitals_tail(V.telemetry(spark, sf), 500)
 

@@ -125,7 +125,7 @@ def series(spark, sf):
 
 SQL_FORECAST = """
     sp AS (SELECT CAST(substr(source, 5) AS BIGINT) AS slo_id, ts_ms // 86400000 AS day, count(*) FILTER (WHERE level <> 'ERROR') / count(*) * 100 AS value FROM logs GROUP BY 1, 2),
-    rk AS (SELECT slo_id, value, row_number() OVER (PARTITION BY slo_id ORDER BY day) AS i, count(*) OVER (PARTITION BY slo_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY slo_id ORDER BY day DESC) AS r FROM sp) WHERE r <= 30),
+    rk AS (SELECT slo_id, value, row_number() OVER (PARTITION BY slo_id ORDER BY day) AS i, count(*) OVER (PARTITION BY slo_id) AS n FROM sp),
     fold AS (SELECT a.slo_id, CAST(1 AS BIGINT) AS i, a.value AS level, b.value - a.value AS trend FROM rk a JOIN rk b ON a.slo_id = b.slo_id AND a.i = 1 AND b.i = 2 AND a.n >= 10
         UNION ALL SELECT slo_id, i, level, 0.1::DOUBLE * (level - prev) + 0.9::DOUBLE * trend FROM (
             SELECT f.slo_id, r.i, f.level AS prev, f.trend, 0.5::DOUBLE * r.value + 0.5::DOUBLE * (f.level + f.trend) AS level FROM fold f JOIN rk r ON r.slo_id = f.slo_id AND r.i = f.i + 1)),
@@ -134,7 +134,7 @@ SQL_FORECAST = """
         FROM fold f JOIN rk r ON r.slo_id = f.slo_id AND r.i = f.i AND r.i = r.n JOIN slos s ON s.id = f.slo_id)"""
 
 
-@entry("J08_slo_forecast", f"WITH RECURSIVE {SQL_FORECAST} SELECT slo_id, round(level, 6) AS level, round(trend, 6) AS trend, steps_to_breach FROM fc")
+@entry("J08_slo_forecast", f"WITH RECURSIVE {SQL_FORECAST} SELECT s.id AS slo_id, round(level, 6) AS level, round(trend, 6) AS trend, steps_to_breach FROM slos s LEFT JOIN fc ON fc.slo_id = s.id WHERE s.id IN (SELECT slo_id FROM sp)")
 def _(spark, sf):
     f = J.slo_forecast(series(spark, sf), slos(spark, sf), alphas=(0.5,), betas=(0.1,))
     return f.select("slo_id", F.round("level", 6).alias("level"), F.round("trend", 6).alias("trend"), "steps_to_breach")
@@ -157,17 +157,17 @@ def _(spark, sf):
 
 
 MONITORS = [
-    {"id": 1, "name": "errors", "query": "level:ERROR", "threshold_critical": 1000, "threshold_warning": 100},
-    {"id": 2, "name": "svc-3 views", "query": "source:svc-3 action:view", "threshold_critical": 100000, "threshold_warning": 5, "tenant_id": "1"},
+    {"id": 1, "name": "errors", "query": "level:ERROR", "threshold_critical": 1000, "threshold_warning": 100, "window_seconds": 20 * 86_400},
+    {"id": 2, "name": "svc-3 views", "query": "source:svc-3 action:view", "threshold_critical": 100000, "threshold_warning": 5, "tenant_id": "1", "window_seconds": 7 * 86_400},
     {"id": 3, "name": "nothing", "query": '"no such text"', "threshold_critical": 1},
     {"id": 4, "name": "off", "query": "level:INFO", "enabled": False},
     {"id": 5, "name": "muted", "query": "level:INFO", "muted_until_ms": NOW + 1},
 ]
 
 
-@entry("J10_evaluate_monitors", """
-    SELECT 1 AS monitor_id, 'errors' AS name, n AS matches, CASE WHEN n >= 1000 THEN 'CRITICAL' WHEN n >= 100 THEN 'WARNING' ELSE 'OK' END AS state FROM (SELECT count(*) AS n FROM logs WHERE level = 'ERROR')
-    UNION ALL SELECT 2, 'svc-3 views', n, CASE WHEN n >= 100000 THEN 'CRITICAL' WHEN n >= 5 THEN 'WARNING' ELSE 'OK' END FROM (SELECT count(*) AS n FROM logs WHERE source = 'svc-3' AND tenant_id = '1' AND json_extract_string(raw_json, '$.action') = 'view')
+@entry("J10_evaluate_monitors", f"""
+    SELECT 1 AS monitor_id, 'errors' AS name, n AS matches, CASE WHEN n >= 1000 THEN 'CRITICAL' WHEN n >= 100 THEN 'WARNING' ELSE 'OK' END AS state FROM (SELECT count(*) AS n FROM logs WHERE level = 'ERROR' AND ts_ms BETWEEN {NOW - 20 * 86_400_000} AND {NOW})
+    UNION ALL SELECT 2, 'svc-3 views', n, CASE WHEN n >= 100000 THEN 'CRITICAL' WHEN n >= 5 THEN 'WARNING' ELSE 'OK' END FROM (SELECT count(*) AS n FROM logs WHERE source = 'svc-3' AND tenant_id = '1' AND json_extract_string(raw_json, '$.action') = 'view' AND ts_ms BETWEEN {NOW - 7 * 86_400_000} AND {NOW})
     UNION ALL SELECT 3, 'nothing', 0, 'OK'""")
 def _(spark, sf):
     return J.evaluate_monitors(V.logs(spark, sf), MONITORS, NOW)

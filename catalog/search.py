@@ -115,7 +115,7 @@ def _(spark, sf):
     return C.incident_search(V.incidents(spark, sf), "2-HIGH", "OPEN", "_12").select("id", "title")
 
 
-@entry("C12_resolve_window", f"SELECT id, created_ms FROM incidents WHERE created_ms >= {V.ORDERS_NOW_MS} - 366 * CAST(86400000 AS BIGINT)")
+@entry("C12_resolve_window", f"SELECT id, created_ms FROM incidents WHERE created_ms >= {V.ORDERS_NOW_MS} - 99 * 7 * CAST(86400000 AS BIGINT)")
 def _(spark, sf):
     return as_ms(C.resolve_window(V.incidents(spark, sf), "-99w", V.ORDERS_NOW_MS), created_ms="created_at").select("id", "created_ms")
 

@@ -90,7 +90,7 @@ def _(spark, sf):
     return spark.read.parquet(path).groupBy((F.col("event_id") % 4).alias("batch")).agg(F.count("*").alias("n"))
 
 
-@entry("K05_live_tail", f"SELECT CAST(user_id % 3 AS VARCHAR) AS tenant_id, CASE WHEN event_id % 4 <> 0 THEN level WHEN event_id % 4 <> 1 AND contains(upper({_MESSAGE}), 'ERROR') THEN 'ERROR' ELSE 'INFO' END AS level, service, substr(message, 1, 200) AS message FROM (SELECT ev.*, r.message FROM ev JOIN ({SQL_RECORDS}) r ON r.event_id = ev.event_id) WHERE contains(service, 'svc-4')")
+@entry("K05_live_tail", f"SELECT CAST(user_id % 3 AS VARCHAR) AS tenant_id, CASE WHEN event_id % 4 <> 0 THEN level WHEN event_id % 4 <> 1 AND contains(upper({_MESSAGE}), 'ERROR') THEN 'ERROR' ELSE 'INFO' END AS level, service, message FROM (SELECT ev.*, r.message FROM ev JOIN ({SQL_RECORDS}) r ON r.event_id = ev.event_id) WHERE contains(service, 'svc-4')")
 def _(spark, sf):
     path, cp = scratch_path(spark, "k05"), scratch_path(spark, "k05-cp")
     tail = K.live_tail(messages(spark, records(spark, sf).select("value")), service="SVC-4")

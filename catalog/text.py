@@ -103,7 +103,7 @@ def _(spark, sf):
 
 @entry("D05_infer_level", """
     SELECT doc_id, CASE WHEN explicit IS NOT NULL THEN upper(explicit) WHEN contains(upper(line), 'ERROR') THEN 'ERROR' WHEN contains(upper(line), 'WARN') THEN 'WARN'
-           WHEN contains(upper(line), 'FATAL') OR contains(upper(line), 'CRITICAL') THEN 'ANOMALY' ELSE 'INFO' END AS level, substr(line, 1, 200) AS message
+           WHEN contains(upper(line), 'FATAL') OR contains(upper(line), 'CRITICAL') THEN 'ANOMALY' ELSE 'INFO' END AS level, line AS message
     FROM (SELECT event_id AS doc_id, CASE WHEN k % 4 = 0 THEN lower(level) END AS explicit,
                  CASE k % 3 WHEN 0 THEN 'a fatal ' ELSE 'the ' END || event_type || CASE WHEN k % 5 = 1 THEN ' warning ' ELSE ' ' END || k AS line FROM ev
           UNION ALL SELECT doc_id, NULL, text FROM documents)""")
@@ -112,7 +112,7 @@ def _(spark, sf):
     line = F.concat(F.when(k % 3 == 0, "a fatal ").otherwise("the "), F.col("event_type"), F.when(k % 5 == 1, " warning ").otherwise(" "), k.cast("string"))
     e = V.events(spark, sf).select(F.col("event_id").alias("doc_id"), F.when(k % 4 == 0, F.lower("level")).alias("explicit"), line.alias("line"))
     docs = V.documents(spark, sf).select("doc_id", F.lit(None).cast("string").alias("explicit"), F.col("text").alias("line"))
-    return e.unionByName(docs).select("doc_id", T.infer_level(F.col("line"), F.col("explicit")).alias("level"), F.substring("line", 1, 200).alias("message"))
+    return e.unionByName(docs).select("doc_id", T.infer_level(F.col("line"), F.col("explicit")).alias("level"), F.col("line").alias("message"))
 
 
 # Sample words that are put into log lines, so that keyword rules have something to find.

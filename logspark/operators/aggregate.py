@@ -170,7 +170,7 @@ def metric_matches(logs: DataFrame, rules: Sequence[dict], mode: str = "strict")
         )
         hits.append(F.when(condition, hit))
     if not hits:
-        raise ValueError("no enabled rules")
+        return logs.sparkSession.createDataFrame([], "rule_id long, bucket_ms long, value double")
     # expressions are compiled per chunk, so that many rules do not overflow one generated method
     chunks = [F.array(*hits[i : i + 100]) for i in range(0, len(hits), 100)]
     every = chunks[0] if len(chunks) == 1 else F.concat(*chunks)
@@ -184,8 +184,9 @@ def metric_value(aggregation: str) -> Column:
     return {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}[aggregation]("value")
 
 
-def extract_metrics(logs: DataFrame, rules: Sequence[dict], mode: str = "strict") -> DataFrame:
-    """Per rule and window: the rule's aggregate over all matching rows."""
+def extract_metrics(logs: DataFrame, rules: Sequence[dict], mode: str = "strict", since_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
+    """Per rule and window: the rule's aggregate over all matching rows between the bounds (pushed to the scan)."""
+    logs = time_between(logs, since_ms, to_ms)
     kinds = sorted({r.get("aggregation", "count") for r in rules if r.get("enabled", True)})
     grouped = metric_matches(logs, rules, mode).groupBy("rule_id", "bucket_ms").agg(
         *[metric_value(k).alias(k) for k in kinds]
@@ -248,7 +249,7 @@ def top_clusters(clusters: DataFrame, n: int = 10) -> DataFrame:
     return clusters.orderBy(F.col("size").desc(), "cluster_id").limit(n)
 
 
-def cluster_report(clusters: DataFrame, members: DataFrame, anomalies: DataFrame, n: int = 20) -> DataFrame:
+def cluster_report(clusters: DataFrame, members: DataFrame, anomalies: DataFrame, n: int = 20, width: int | None = None) -> DataFrame:
     """Largest clusters with the worst anomaly of their templates.
 
     Only the chosen clusters' members are joined; the worst label is an aggregate, not a sort.
@@ -258,6 +259,8 @@ def cluster_report(clusters: DataFrame, members: DataFrame, anomalies: DataFrame
     worst = scored.groupBy("cluster_id").agg(F.max("distance").alias("worst_distance"), F.max_by("label", "distance").alias("_label"))
     noise = F.col("cluster_id") == -1
     text = F.replace(F.col("representative_raw"), F.lit("\n"), F.lit(" "))
+    if width is not None:
+        text = F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 3), F.lit("..."))).otherwise(text)
     return (
         top.join(worst, "cluster_id", "left")
         .select(
@@ -266,7 +269,7 @@ def cluster_report(clusters: DataFrame, members: DataFrame, anomalies: DataFrame
             F.coalesce("_label", F.when(noise, "OUTLIER").otherwise("-")).alias("label"),
             "worst_distance",
             F.concat_ws(":", "representative_source", F.col("representative_line").cast("string")).alias("location"),
-            F.when(F.length(text) > 200, F.concat(F.substring(text, 1, 197), F.lit("..."))).otherwise(text).alias("text"),
+            text.alias("text"),
         )
         .orderBy(F.col("size").desc(), "cluster")
     )

@@ -27,10 +27,10 @@ def metric_cards(incidents: DataFrame, slos: DataFrame, runs: DataFrame) -> Data
 
 
 def incidents_per_day(incidents: DataFrame, now_ms: int, since_ms: int | None = None, default_days: int = 14) -> DataFrame:
-    """Incidents opened per UTC day, days without any as 0; 1 to 90 days ending today."""
+    """Incidents opened per UTC day, days without any as 0; at least one day, ending today."""
     start = since_ms if since_ms is not None else now_ms - default_days * DAY_MS
     today = now_ms // DAY_MS
-    days = max(1, min(90, today - start // DAY_MS + 1))
+    days = max(1, today - start // DAY_MS + 1)
     counted = incidents.where(F.col("created_at") >= at_ms(start)).groupBy(
         F.floor(ms(F.col("created_at")) / DAY_MS).alias("day")
     ).agg(F.count("*").alias("n"))
@@ -40,9 +40,9 @@ def incidents_per_day(incidents: DataFrame, now_ms: int, since_ms: int | None =
     ).orderBy("day_ms")
 
 
-def _top(df: DataFrame, name: str, k: int) -> DataFrame:
+def _top(df: DataFrame, name: str, k: int | None) -> DataFrame:
     counted = df.groupBy(F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit("unknown")).alias("label")).agg(F.count("*").alias("incidents"))
-    return counted.orderBy(F.col("incidents").desc(), "label").limit(k)
+    return counted if k is None else counted.orderBy(F.col("incidents").desc(), "label").limit(k)
 
 
 def incidents_by_domain(incidents: DataFrame, k: int = 8) -> DataFrame:
@@ -56,7 +56,7 @@ def resolved_gauge(incidents: DataFrame) -> DataFrame:
 
 def incident_heatmap(incidents: DataFrame, now_ms: int, days: int = 30, since_ms: int | None = None) -> DataFrame:
     """Weekday (Monday 0) x hour counts with the largest cell."""
-    cutoff = since_ms if since_ms is not None else now_ms - max(1, min(days, 90)) * DAY_MS
+    cutoff = since_ms if since_ms is not None else now_ms - max(1, days) * DAY_MS
     stamp = ms(F.col("created_at"))
     cells = incidents.where(F.col("created_at") >= at_ms(cutoff)).groupBy(
         F.pmod(F.floor(stamp / DAY_MS) + 3, F.lit(7)).alias("day"),  # 1970-01-01 was a Thursday
@@ -65,13 +65,13 @@ def incident_heatmap(incidents: DataFrame, now_ms: int, days: int = 30, since_ms
     return cells.withColumn("max_cell", cells.agg(F.max("incidents")).scalar())
 
 
-def incident_pie(incidents: DataFrame, by: str = "severity") -> DataFrame:
-    """Slices by status, by domain (top 6) or by impact band; empty bands are left out."""
+def incident_pie(incidents: DataFrame, by: str = "severity", k: int | None = None) -> DataFrame:
+    """Slices by status, by domain (all, or the k largest) or by impact band; empty bands are left out."""
     if by == "status":
         name = F.initcap(F.coalesce("status", F.lit("UNKNOWN")))
         return incidents.groupBy(name.alias("label")).agg(F.count("*").alias("incidents"))
     if by == "domain":
-        return _top(incidents, "domain", 6)
+        return _top(incidents, "domain", k)
     band = F.lit(None).cast("string")
     for name, low, high in reversed(IMPACT_BANDS):
         band = F.when((F.col("impact_score") >= low) & (F.col("impact_score") < high), name).otherwise(band)
@@ -84,8 +84,7 @@ def incident_feed(incidents: DataFrame, n: int = 12) -> DataFrame:
 
 
 def vitals_tail(telemetry: DataFrame, n: int = 20, raw: bool = False) -> DataFrame:
-    """Newest n samples in time order; n is held to 1..120 (raw: 1..1000)."""
-    n = max(1, min(n, 1000 if raw else 120))
+    """Newest n samples in time order."""
     tail = telemetry.orderBy(F.col("timestamp").desc(), *[F.col(c).desc() for c in sorted(telemetry.columns) if c != "timestamp"]).limit(n)
     if raw:
         return tail.orderBy("timestamp")

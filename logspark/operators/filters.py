@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logspark.functions.search import search_condition
 from logspark.functions.timing import DAY_MS, at_ms
 
-# Relative window units in seconds and the widest window.
+# Relative window units in seconds.
 WINDOW_UNITS = {"m": 60, "h": 3600, "d": 86_400, "w": 604_800}
-WINDOW_LIMIT_S = 366 * 86_400
 
 
 def time_between(df: DataFrame, from_ms: int | None = None, to_ms: int | None = None, column: str = "timestamp") -> DataFrame:
@@ -152,7 +151,7 @@ def resolve_window_ms(start: str | None, now_ms: int) -> int | None:
     """``15m`` / ``4h`` / ``7d`` / ``2w`` or ISO text -> lower bound in epoch ms; anything else -> None."""
     raw = (start or "").strip().lstrip("-")
     if re.fullmatch(r"\d+[mhdwMHDW]", raw):
-        return now_ms - min(int(raw[:-1]) * WINDOW_UNITS[raw[-1].lower()], WINDOW_LIMIT_S) * 1000
+        return now_ms - int(raw[:-1]) * WINDOW_UNITS[raw[-1].lower()] * 1000
     try:
         stamp = datetime.fromisoformat(raw.replace("Z", "+00:00"))
     except ValueError:

@@ -8,13 +8,17 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from logspark.functions.timing import DAY_MS, MINUTE_MS, at_ms, ms
 from logspark.functions.search import search_condition
+from logspark.operators.filters import time_between
 
 # Levels that count as failures, latency limit, warning burn rate.
 BAD_LEVELS = ("error", "fatal", "critical")
 FAST_MS = 500
 WARNING_BURN = 0.8
-# Forecast window and horizon in points.
-FORECAST_POINTS, FORECAST_MIN, FORECAST_HORIZON = 30, 10, 240
+MONITOR_WINDOW_S = 3600
+# Titles, by which open incidents are matched.
+BREACH_TITLE, WARNING_TITLE = "SLO Breach: ", "Predictive Warning: %s will breach soon"
+# Fewest points of a forecast and its horizon in points.
+FORECAST_MIN, FORECAST_HORIZON = 10, 240
 
 
 def _good_latency(compat: bool) -> Column:
@@ -29,10 +33,12 @@ def _daily_counts(logs: DataFrame, slos: DataFrame, now_ms: int, compat: bool) -
     """Events per (source, age in days, UTC day) with the good ones of either kind.
 
     SLO windows are whole days back from ``now_ms``, so counts per day of age answer every window
-    exactly; logs are aggregated once, before any join with the objectives.
+    exactly; logs are aggregated once, before any join with the objectives, and only those of the
+    longest window are read (the objectives are a small table; their maximum is looked up first).
     """
     stamp = ms(F.col("timestamp"))
-    used = logs.join(slos.select(F.col("service").alias("source")).distinct(), "source", "left_semi")
+    longest = slos.agg(F.max("window_days")).first()[0] or 0
+    used = time_between(logs, now_ms - longest * DAY_MS).join(slos.select(F.col("service").alias("source")).distinct(), "source", "left_semi")
     failed = F.lower(F.coalesce("level", F.lit(""))).isin(*BAD_LEVELS)
     return used.groupBy(
         "source", F.ceil((F.lit(now_ms) - stamp) / DAY_MS).alias("age"), F.floor(stamp / DAY_MS).alias("day")
@@ -90,8 +96,8 @@ def slo_breach_marks(points: DataFrame, slos: DataFrame) -> DataFrame:
     """Breaching points as marks for ``open_incident_dedup``: title, service, summary, impact 1."""
     joined = points.join(slos.withColumnRenamed("id", "slo_id"), "slo_id").where(F.col("value") < F.col("target_percentage"))
     return joined.select(
-        "tenant_id", "service", F.concat(F.lit("SLO Breach: "), F.col("name")).alias("title"), ms(F.col("timestamp")).alias("ts_ms"), F.lit(False).alias("resolved"),
-        F.format_string("SLO '%s' breached for service '%s'. Target: %s%%, Actual: %.2f%%", "name", "service", F.col("target_percentage").cast("string"), "value").alias("summary"),
+        "tenant_id", "service", F.concat(F.lit(BREACH_TITLE), F.col("name")).alias("title"), ms(F.col("timestamp")).alias("ts_ms"), F.lit(False).alias("resolved"),
+        F.format_string("%s: %s is below its objective of %s%% (measured %.2f%%)", "name", "service", F.col("target_percentage").cast("string"), "value").alias("summary"),
     )
 
 
@@ -108,20 +114,23 @@ def slo_breach_incidents(points: DataFrame, slos: DataFrame, resolutions: DataFr
 
 
 def slo_forecast(
-    points: DataFrame, slos: DataFrame, horizon: int = FORECAST_HORIZON,
+    points: DataFrame, slos: DataFrame, horizon: int = FORECAST_HORIZON, history: int | None = None,
     alphas: Sequence[float] = (0.1, 0.3, 0.5, 0.7, 0.9), betas: Sequence[float] = (0.05, 0.1, 0.3, 0.5),
 ) -> DataFrame:
-    """First step at which the trend of the last 30 points falls below target (null: not within reach).
+    """First step at which the trend falls below target (null: not within reach, or fewer than 10 points).
 
     Additive-trend exponential smoothing, the parameters with the smallest squared one-step error
-    out of the grid. SLOs with fewer than 10 points are left out. The 30 newest points per SLO are
-    taken by a rank that is cut before the shuffle; the fold runs inside Spark.
+    out of the grid, over all points of an SLO or the ``history`` newest (by a rank that is cut before
+    the shuffle). An SLO's points are one series, folded inside Spark; a day has 1 440 of them at most.
     """
-    newest = W.partitionBy("slo_id").orderBy(F.col("timestamp").desc(), F.col("value").desc())
-    recent = points.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= FORECAST_POINTS)
-    series = recent.groupBy("slo_id").agg(
-        F.transform(F.reverse(F.sort_array(F.collect_list(F.struct("_r", "value")))), lambda p: p["value"]).alias("y")
-    ).where(F.size("y") >= FORECAST_MIN)
+    recent = points
+    if history is not None:
+        newest = W.partitionBy("slo_id").orderBy(F.col("timestamp").desc(), F.col("value").desc())
+        recent = points.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= history)
+    every = recent.groupBy("slo_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("timestamp", "value"))), lambda p: p["value"]).alias("y")
+    )
+    series = every.where(F.size("y") >= FORECAST_MIN)
     grid = series.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas]))).withColumn(
         "beta", F.explode(F.array(*[F.lit(b) for b in betas]))
     )
@@ -134,7 +143,7 @@ def slo_forecast(
         return F.struct(level.alias("level"), trend.alias("trend"), (s["sse"] + (v - expected) * (v - expected)).alias("sse"))
 
     start = F.struct(y[0].alias("level"), (y[1] - y[0]).alias("trend"), F.lit(0.0).alias("sse"))
-    fitted = grid.withColumn("fit", F.aggregate(F.slice("y", 2, FORECAST_POINTS), start, step))
+    fitted = grid.withColumn("fit", F.aggregate(F.slice("y", F.lit(2), F.size("y")), start, step))
     best = fitted.groupBy("slo_id").agg(F.min_by("fit", F.struct("fit.sse", "alpha", "beta")).alias("fit"))
     level, trend = F.col("fit.level"), F.col("fit.trend")
     target = F.col("target_percentage")
@@ -143,14 +152,14 @@ def slo_forecast(
         trend < 0, F.greatest(F.lit(1), (F.floor((level - target) / -trend) + 1))
     )
     meta = slos.select(F.col("id").alias("slo_id"), "tenant_id", "name", "service", "target_percentage")
-    return best.join(meta, "slo_id").select(
+    return every.select("slo_id").join(best, "slo_id", "left").join(meta, "slo_id").select(
         "slo_id", "tenant_id", "name", "service", "target_percentage", level.alias("level"), trend.alias("trend"),
         F.when(steps <= horizon, steps).cast("long").alias("steps_to_breach"),
     )
 
 
 def predictive_title(name: Column) -> Column:
-    return F.concat(F.lit("Predictive Warning: "), name, F.lit(" will breach soon"))
+    return F.format_string(WARNING_TITLE, name)
 
 
 def predictive_incidents(forecast: DataFrame, open_incidents: DataFrame, now_ms: int) -> DataFrame:
@@ -161,7 +170,7 @@ def predictive_incidents(forecast: DataFrame, open_incidents: DataFrame, now_ms:
     return fresh.select(
         "tenant_id", "title", F.col("service").alias("domain"), F.lit(0.8).alias("impact_score"), F.lit(True).alias("is_predictive"), "steps_to_breach",
         at_ms(F.lit(now_ms) + F.col("steps_to_breach") * MINUTE_MS).alias("forecasted_depletion_time"),
-        F.format_string("The trend of SLO '%s' for service '%s' will breach its target of %s%% in approx %d minutes.", "name", "service", F.col("target_percentage").cast("string"), "steps_to_breach").alias("summary"),
+        F.format_string("%s: at the present trend %s falls below %s%% within %d min", "name", "service", F.col("target_percentage").cast("string"), "steps_to_breach").alias("summary"),
     )
 
 
@@ -169,14 +178,17 @@ def evaluate_monitors(logs: DataFrame, monitors: Sequence[dict], now_ms: int) ->
     """Matches of every active monitor's search against its thresholds, all monitors in one scan.
 
     A monitor is ``id, name, tenant_id, query, threshold_critical, threshold_warning, enabled,
-    muted_until_ms``. Monitors without a match count 0.
+    muted_until_ms, window_seconds``; it counts the events of its last ``window_seconds`` (an hour unless
+    given), and only the longest window is read. Monitors without a match count 0; none: no rows.
     """
     active = [m for m in monitors if m.get("enabled", True) and not (m.get("muted_until_ms") or 0) > now_ms]
     if not active:
-        raise ValueError("no active monitors")
+        return logs.sparkSession.createDataFrame([], "monitor_id long, name string, matches long, state string")
+    since = lambda m: now_ms - int(m.get("window_seconds", MONITOR_WINDOW_S)) * 1000
+    logs = time_between(logs, min(map(since, active)), now_ms)
     counts = []
     for m in active:
-        condition = search_condition(m["query"])
+        condition = search_condition(m["query"]) & (F.col("timestamp") >= at_ms(since(m)))
         if m.get("tenant_id") is not None:
             condition = condition & (F.col("tenant_id") == str(m["tenant_id"]))
         number = lambda v: F.lit(v).cast("double")

@@ -6,9 +6,12 @@ templates (thousands of times smaller than the logs) and the number of baseline
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
+import pandas as pd
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -22,18 +25,45 @@ PRESETS = {
     "security": {"min_cluster_size": 3, "min_samples": 2, "low": 0.40, "medium": 0.55, "high": 0.70},
     "performance": {"min_cluster_size": 10, "min_samples": 5, "low": 0.60, "medium": 0.75, "high": 0.90},
 }
-# Largest set of centroids sent to every task (100 MB at 256 dimensions in float64).
-BROADCAST_CENTROIDS = 50_000
+# Largest set of centroids sent to every task, in bytes of float64.
+BROADCAST_BYTES = 64 << 20
 
 
 def embed_templates(templates: DataFrame, dim: int = 256, column: str = "template") -> DataFrame:
-    """Distinct templates -> unit vectors (hashed TF-IDF over the token list)."""
+    """Distinct templates -> unit vectors: signed token counts hashed into ``dim`` places.
+
+    A vector depends on its text alone, so vectors of different runs and of a stored baseline compare.
+    Place and sign of a token come from its MD5; placeholders, which stand for what varies, weigh a
+    quarter of a word. A text without tokens is the zero vector.
+    """
     words = F.regexp_extract_all(F.lower(F.col(column)), F.lit("([a-z0-9]+|<[a-z_]+>)"), F.lit(1))
-    tokens = templates.select(column).distinct().withColumn("_words", words)
-    counted = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(tokens)
-    weighted = IDF(inputCol="_tf", outputCol="_idf").fit(counted).transform(counted)
-    unit = Normalizer(inputCol="_idf", outputCol="_unit").transform(weighted)
-    return unit.select(column, vector_to_array("_unit", "float32").alias("vector"))
+
+
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
+
+        known: dict[str, tuple[int, float]] = {}
+
+        def place(token: str) -> tuple[int, float]:
+            if token not in known:
+                if len(known) > 1_000_000:
+                    known.clear()
+                digest = hashlib.md5(token.encode()).hexdigest()
+                known[token] = int(digest[:8], 16) % dim, (0.25 if token[0] == "<" else 1.0) * (1 if int(digest[8], 16) % 2 == 0 else -1)
+            return known[token]
+
+        for batch in batches:
+            out = []
+            for tokens in batch:
+                vector = np.zeros(dim)
+                for i, sign in map(place, tokens):
+                    vector[i] += sign
+                norm = np.linalg.norm(vector)
+                out.append((vector / norm if norm else vector).astype(np.float32))
+            yield pd.Series(out)
+
+    return templates.select(column).distinct().select(column, embed(words).alias("vector"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -166,9 +196,6 @@ def density_clusters(
     Core = at least ``min_samples`` vectors within eps, itself included; clusters are the components
     of the cores, label = smallest core id; other vectors join their nearest core within eps.
     """
-    total = vectors.count()
-    min_cluster_size = min(min_cluster_size, max(2, total // 2))
-    min_samples = min(min_samples, max(1, total - 1))
     degrees = _degrees(vectors, eps, tile_rows)
     marked = vectors.select("id", "vector").join(degrees, "id", "left").withColumn("core", F.coalesce("near", F.lit(0)) + 1 >= min_samples).drop("near")
     marked = cut_lineage(marked)
@@ -221,11 +248,13 @@ def build_clusters(vectors: DataFrame, templates: DataFrame, first: DataFrame, l
     return clusters, members
 
 
-def project_2d(vectors: DataFrame, label: str = "label", n: int = 50) -> DataFrame:
-    """First two principal components, the n lowest ids per cluster."""
+def project_2d(vectors: DataFrame, label: str = "label", n: int | None = None) -> DataFrame:
+    """First two principal components of all vectors, or of the n lowest ids per cluster."""
     rows = vectors.withColumn("_v", array_to_vector(F.col("vector").cast("array<double>")))
     model = PCA(k=2, inputCol="_v", outputCol="_p").fit(rows)
-    picked = rows.withColumn("_rank", F.row_number().over(W.partitionBy(label).orderBy("id"))).where(F.col("_rank") <= n)
+    picked = rows
+    if n is not None:
+        picked = rows.withColumn("_rank", F.row_number().over(W.partitionBy(label).orderBy("id"))).where(F.col("_rank") <= n)
     xy = vector_to_array("_p")
     return model.transform(picked).select("id", label, xy[0].alias("x"), xy[1].alias("y"))
 
@@ -251,14 +280,17 @@ def _nearest_local(ids, x, center_ids, centers, metric):
 
 
 def nearest_centroid(
-    vectors: DataFrame, centers: DataFrame, metric: str = "cosine", broadcast_limit: int = BROADCAST_CENTROIDS
+    vectors: DataFrame, centers: DataFrame, metric: str = "cosine", broadcast_limit: int | None = None
 ) -> DataFrame:
     """``vectors`` + ``nearest_id, distance``; ``centers`` = ``cluster_id, vector``. Exact.
 
-    Up to ``broadcast_limit`` centroids are sent to the tasks and matched by matrix products with
+    Up to ``broadcast_limit`` centroids (by default as many as ``BROADCAST_BYTES`` hold) are sent to the tasks and matched by matrix products with
     no shuffle. Beyond it, the centroids are cut into chunks; every chunk meets every block of
     vectors and only one candidate per vector and chunk is shuffled.
     """
+    if broadcast_limit is None:
+        one = centers.select(F.size("vector")).first()
+        broadcast_limit = BROADCAST_BYTES // (8 * max(1, one[0] if one else 1))
     few = centers.select(F.col("cluster_id").cast("long"), F.col("vector").cast("array<double>")).limit(broadcast_limit + 1)
     size = few.count()
     match = _nearest_local
@@ -298,11 +330,16 @@ def _as_arrays(centers: DataFrame):
 
 
 def _nearest_chunked(vectors: DataFrame, centers: DataFrame, metric: str, chunk_rows: int, block_rows: int = 20_000) -> DataFrame:
-    """Nearest centroid when the centroids outgrow one task: blocks of vectors x chunks of centroids."""
+    """Nearest centroid when the centroids outgrow one task: blocks of vectors x chunks of centroids.
+
+    Rows get a number of their own (fixed by the checkpoint), so ``vectors`` needs no id.
+    """
+    names = vectors.columns
+    vectors = cut_lineage(vectors.withColumn("_row", F.monotonically_increasing_id()))
     chunks = max(1, math.ceil(centers.count() / chunk_rows))
     blocks = max(1, math.ceil(vectors.count() / block_rows))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    asked = vectors.select("id", F.col("vector").cast("array<double>"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    block = F.pmod(F.xxhash64("_row"), F.lit(blocks))
+    asked = vectors.select("_row", F.col("vector").cast("array<double>"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     held = centers.select(
         F.col("cluster_id").cast("long").alias("cluster_id"), F.col("vector").cast("array<double>"),
         F.pmod(F.xxhash64("cluster_id"), F.lit(chunks)).cast("int").alias("chunk"),
@@ -315,17 +352,17 @@ def _nearest_chunked(vectors: DataFrame, centers: DataFrame, metric: str, chunk_
         import pandas as pd
 
         if not len(left) or not len(right):
-            return pd.DataFrame(columns=["id", "nearest_id", "distance"])
+            return pd.DataFrame(columns=["_row", "nearest_id", "distance"])
         right = right.sort_values("cluster_id")
         ids = right["cluster_id"].to_numpy(np.int64)
         rows = np.stack(right["vector"].to_numpy()).astype(np.float64)
         nearest, gap = match(None, np.stack(left["vector"].to_numpy()).astype(np.float64), ids, rows, metric)
-        return pd.DataFrame({"id": left["id"].to_numpy(), "nearest_id": nearest, "distance": gap})
+        return pd.DataFrame({"_row": left["_row"].to_numpy(), "nearest_id": nearest, "distance": gap})
 
-    candidates = asked.groupBy("block", "chunk").cogroup(held.groupBy("block", "chunk")).applyInPandas(score, "id long, nearest_id long, distance double")
+    candidates = asked.groupBy("block", "chunk").cogroup(held.groupBy("block", "chunk")).applyInPandas(score, "_row long, nearest_id long, distance double")
     order = F.struct(F.round("distance", 12), "nearest_id")
-    best = candidates.groupBy("id").agg(F.min_by(F.struct("nearest_id", "distance"), order).alias("_b"))
-    return vectors.join(best, "id", "left").select(*vectors.columns, "_b.nearest_id", "_b.distance")
+    best = candidates.groupBy("_row").agg(F.min_by(F.struct("nearest_id", "distance"), order).alias("_b"))
+    return vectors.join(best, "_row", "left").select(*names, "_b.nearest_id", "_b.distance")
 
 
 def assign_to_clusters(vectors: DataFrame, centers: DataFrame, eps: float, metric: str = "cosine") -> DataFrame:
@@ -384,15 +421,14 @@ def semantic_search_many(vectors: DataFrame, queries: list[tuple[int, list[float
             if not len(pdf):
                 continue
             x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            if metric == "cosine":
-                unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                gap = 1.0 - unit(asked) @ unit(x).T
-            else:
-                gap = np.linalg.norm(asked[:, None, :] - x[None, :, :], axis=2)
-            part = pd.concat([
-                pd.DataFrame({"query_id": q, "id": pdf["id"].to_numpy(), "template": pdf["template"].to_numpy(), "distance": gap[i]})
-                for i, q in enumerate(ids)
-            ])
+            unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-300)
+            parts = []
+            for q, one in zip(ids, asked):  # a column of distances at a time, cut to the k best before texts are touched
+                gap = 1.0 - unit(x) @ unit(one) if metric == "cosine" else np.linalg.norm(x - one, axis=1)
+                kth = np.partition(np.round(gap, 9), min(k, len(gap)) - 1)[min(k, len(gap)) - 1]
+                near = np.flatnonzero(np.round(gap, 9) <= kth)
+                parts.append(pd.DataFrame({"query_id": q, "id": pdf["id"].to_numpy()[near], "template": pdf["template"].to_numpy()[near], "distance": gap[near]}))
+            part = pd.concat(parts)
             held = part if held is None else pd.concat([held, part])
             held["_d"] = held["distance"].round(9)
             held = held.sort_values(["query_id", "_d", "id"]).groupby("query_id").head(k).drop(columns="_d")

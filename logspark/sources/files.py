@@ -13,7 +13,6 @@ from logspark.functions.timing import at_ms, ms
 # File kinds read as logs, and the longest message kept.
 LOG_EXTENSIONS = (".log", ".txt", ".jsonl", ".ndjson", ".json")
 JSON_EXTENSIONS = (".json", ".jsonl", ".ndjson")
-MAX_LINE = 10_000
 WHITE_SPACE = " \t\r\n\x0b\x0c"
 
 # Fixed values: `ts LEVEL [source] message`.
@@ -33,20 +32,24 @@ def _lines(spark: SparkSession, path: str | list[str], extensions: Sequence[str]
     )
 
 
+def _cut(text: Column, max_len: int | None) -> Column:
+    return text if max_len is None else F.substring(text, 1, max_len)
+
+
 def read_text_logs(
     spark: SparkSession,
     path: str | list[str],
     extensions: Sequence[str] = LOG_EXTENSIONS,
-    max_len: int = MAX_LINE,
+    max_len: int | None = None,
     line_numbers: bool = False,
 ) -> DataFrame:
-    """Recursive scan -> ``raw_text, source[, line_number]``; blank lines dropped, long ones cut.
+    """Recursive scan -> ``raw_text, source[, line_number]``; blank lines dropped, cut to ``max_len`` if given.
 
     Line numbers are 1-based and count blanks. They come from each row's place in its file split
     plus a table of split offsets (one row per split), so a huge file is never put into one task.
     """
     lines = _lines(spark, path, extensions).withColumn("source", F.col("_file.file_path"))
-    kept = [F.substring("line", 1, max_len).alias("raw_text"), "source"]
+    kept = [_cut(F.col("line"), max_len).alias("raw_text"), "source"]
     if not line_numbers:
         return lines.where(F.col("line") != "").select(*kept)
 
@@ -71,7 +74,7 @@ def _json_object(line: Column) -> Column:
     return F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), value)
 
 
-def _with_message(df: DataFrame, line: str, is_json: Column, max_len: int) -> DataFrame:
+def _with_message(df: DataFrame, line: str, is_json: Column, max_len: int | None) -> DataFrame:
     """Add raw_text (message, else msg, else the line) and metadata (the whole object)."""
     parsed = df.withColumn("_object", F.when(is_json, _json_object(F.col(line))))
     text = F.coalesce(
@@ -79,24 +82,24 @@ def _with_message(df: DataFrame, line: str, is_json: Column, max_len: int) -> Da
         F.try_variant_get("_object", "$.msg", "string"),
         F.col(line),
     )
-    return parsed.withColumn("raw_text", F.substring(text, 1, max_len)).withColumn(
+    return parsed.withColumn("raw_text", _cut(text, max_len)).withColumn(
         "metadata", F.when(F.col("_object").isNotNull(), F.col(line))
     ).drop("_object")
 
 
 def read_json_logs(
-    spark: SparkSession, path: str | list[str], max_len: int = MAX_LINE, extensions: Sequence[str] = JSON_EXTENSIONS
+    spark: SparkSession, path: str | list[str], max_len: int | None = None, extensions: Sequence[str] = JSON_EXTENSIONS
 ) -> DataFrame:
     """JSON-lines files -> ``raw_text, source, metadata``; a line that is no object stays plain text.
 
-    The line is parsed whole; only the message is cut to ``max_len``.
+    The line is parsed whole; only the message is cut, if ``max_len`` is given.
     """
     lines = _lines(spark, path, extensions).where(F.col("line") != "")
     out = _with_message(lines, "line", F.lit(True), max_len)
     return out.select("raw_text", F.col("_file.file_path").alias("source"), "metadata")
 
 
-def sniff_json_lines(df: DataFrame, column: str, max_len: int = MAX_LINE) -> DataFrame:
+def sniff_json_lines(df: DataFrame, column: str, max_len: int | None = None) -> DataFrame:
     """Per line: parse only what starts with ``{`` and ends with ``}``; adds raw_text and metadata."""
     line = F.col(column)
     return _with_message(df, column, F.startswith(line, F.lit("{")) & F.endswith(line, F.lit("}")), max_len)

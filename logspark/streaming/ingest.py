@@ -16,16 +16,17 @@ from logspark.functions.text import infer_level
 from logspark.sources.otlp import flatten_otlp_spans
 from logspark.sources.records import to_log_table
 
-# Tenant of unmarked messages, micro-batch size and interval.
+# Tenant of unmarked messages, micro-batch interval.
 DEFAULT_TENANT = "default_tenant"
-BATCH_ROWS, LINGER = 1000, "2 seconds"
-LIVE_MESSAGE = 200
+LINGER = "2 seconds"
 
 
-def open_topic(spark: SparkSession, servers: str, topic: str, max_rows: int = BATCH_ROWS) -> DataFrame:
-    """Kafka topic -> ``value`` text; the offset cap per trigger bounds every micro-batch."""
+def open_topic(spark: SparkSession, servers: str, topic: str, max_rows: int | None = None) -> DataFrame:
+    """Kafka topic -> ``value`` text; ``max_rows`` bounds a micro-batch where memory asks for it."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-    return reader.option("maxOffsetsPerTrigger", max_rows).load().select(F.col("value").cast("string"))
+    if max_rows is not None:
+        reader = reader.option("maxOffsetsPerTrigger", max_rows)
+    return reader.load().select(F.col("value").cast("string"))
 
 
 def open_folder(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
@@ -98,8 +99,8 @@ def start_trace_ingest(messages: DataFrame, path: str, checkpoint: str, trigger:
     ).trigger(**(trigger or {"processingTime": LINGER})).start()
 
 
-def live_tail(messages: DataFrame, tenant: str | None = None, level: str | None = None, service: str | None = None, column: str = "value") -> DataFrame:
-    """Display rows of the live view: level, service, message cut to 200; plain lines are kept too."""
+def live_tail(messages: DataFrame, tenant: str | None = None, level: str | None = None, service: str | None = None, column: str = "value", width: int | None = None) -> DataFrame:
+    """Display rows of the live view: level, service, message (cut to ``width`` if given); plain lines are kept too."""
     value = F.col(column)
     ok = is_message(value)
     field = lambda name: F.when(ok, F.get_json_object(value, f"$.{name}"))
@@ -108,7 +109,7 @@ def live_tail(messages: DataFrame, tenant: str | None = None, level: str | None
         F.when(ok, message_tenant(value)).otherwise(F.lit(DEFAULT_TENANT)).alias("tenant_id"),
         infer_level(text, field("level")).alias("level"),
         F.when(ok, F.coalesce(field("service"), F.lit("api"))).otherwise("unknown").alias("service"),
-        F.substring(text, 1, LIVE_MESSAGE).alias("message"), field("timestamp").alias("timestamp"),
+        (text if width is None else F.substring(text, 1, width)).alias("message"), field("timestamp").alias("timestamp"),
     )
     if tenant is not None:
         rows = rows.where(F.col("tenant_id") == str(tenant))

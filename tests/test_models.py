@@ -254,6 +254,22 @@ def test_analyze(frame):
     assert set(status.values()) <= {"correlated", "no_data_in_window", "skipped_non_incident", "skipped_noise"} and len(status) == done.clusters.count()
 
 
+def test_a_known_template_is_known_in_any_run(frame):
+    lines = raw_lines(frame)
+    rows, _ = build_baseline(lines, NOW)
+    for part in ("rendered", "panic", "slow"):
+        found = analyze(lines.where(f"raw_text like '%{part}%'"), NOW, baseline=rows).anomalies.collect()
+        assert [(r.label, round(r.distance, 6)) for r in found] == [("known", 0.0)]
+
+
+@pytest.mark.parametrize("n", [50, 51])
+def test_groups_do_not_change_with_the_number_of_templates(frame, n):
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    lines = frame([(f"ERROR {words[i]} {words[i - 1]}x stopped {words[-i]}y", "f", i, "api") for i in range(1, n + 1)], "raw_text string, source string, line_number long, source_label string")
+    labels = {r.representative_raw: r["size"] for r in analyze(lines, NOW).clusters.collect()}
+    assert sum(labels.values()) == n and all(r.cluster_id >= 0 for r in analyze(lines, NOW).clusters.collect())
+
+
 def test_analyze_does_not_depend_on_partitioning(frame):
     pick = lambda lines: sorted((r.size, r.representative_template, r.priority) for r in analyze(lines, NOW).clusters.collect())
     assert pick(raw_lines(frame)) == pick(raw_lines(frame).repartition(7))
