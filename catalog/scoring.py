@@ -76,7 +76,7 @@ def _(spark, sf):
 
 
 @entry("J05_causal_narrative", f"""
-    WITH {SQL_LINKS} SELECT source_cluster_id, target_cluster_id, printf('Anomalous pattern in %s co-occurred with a warning in %s after an average delay of %.1fms (Confidence: %.0f%%).', a.service, b.service, avg_delay_ms, confidence * 100) AS narrative
+    WITH {SQL_LINKS} SELECT source_cluster_id, target_cluster_id, printf('%s, then %s: %.1f ms later on average, confidence %.0f%%', a.service, b.service, avg_delay_ms, confidence * 100) AS narrative
     FROM links JOIN names a ON a.cluster_id = source_cluster_id JOIN names b ON b.cluster_id = target_cluster_id""")
 def _(spark, sf):
     links = I.causal_links(V.cluster_events(spark, sf), cluster_names(spark, sf), 60_000)
@@ -85,7 +85,7 @@ def _(spark, sf):
 
 @entry("J06_run_incident", """
     SELECT 'r1' AS run_id, CASE WHEN c > 1 THEN least(1.0::DOUBLE, c / 10) ELSE 0.3::DOUBLE END AS impact_score, n AS total_logs, c AS cluster_count,
-        'Detected ' || c || ' distinct log patterns across ' || n || ' total events. Local analysis indicates potential pattern shifts.' AS summary
+        c || ' clusters in ' || n || ' lines' AS summary
     FROM (SELECT count(*) AS n, count(DISTINCT length(template) % 7) AS c FROM norm)""")
 def _(spark, sf):
     t = cut_lineage(E.dedupe_templates(normalised(spark, sf)))

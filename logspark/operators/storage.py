@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from logspark.functions.timing import DAY_MS, at_ms, ms
+from logspark.operators.filters import time_between
+from logspark.session import scratch_path
 
 # Days kept per tier; any other tier keeps the smallest.
 TIER_DAYS = {"pro": 30, "enterprise": 90}
@@ -57,10 +61,56 @@ def apply_retention(df: DataFrame, tenants: DataFrame, now_ms: int, time: str =
     return kept.select(*df.columns)
 
 
+def prune_table(spark: SparkSession, path: str, keep_from_ms: int, time: str = "timestamp", tenant: str | None = None) -> int:
+    """Remove rows before ``keep_from_ms`` from a stored table, of one tenant or of all; returns the partitions changed.
+
+    Whole expired (tenant, date) partitions are deleted without reading a row. Only the boundary day is
+    rewritten: what stays of it goes to the shared folder first, so that a lost job leaves the table whole.
+    """
+    edge = keep_from_ms - keep_from_ms % DAY_MS
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = lambda folder, prefix: [x.getPath() for x in fs.listStatus(folder) if x.isDirectory() and x.getPath().getName().startswith(prefix)]
+    changed = 0
+    for home in names(root, "tenant_id="):
+        if tenant is not None and home.getName() != f"tenant_id={tenant}":
+            continue
+        for day in names(home, "date="):
+            start = int(datetime.fromisoformat(day.getName()[5:]).replace(tzinfo=timezone.utc).timestamp() * 1000)
+            if start > edge or (start == edge and edge == keep_from_ms):
+                continue
+            if start == edge:
+                rows = spark.read.parquet(day.toString())
+                rest = scratch_path(spark, "pruned")
+                rows.where(F.col(time) >= at_ms(keep_from_ms)).write.parquet(rest)
+                spark.read.schema(rows.schema).parquet(rest).write.mode("overwrite").parquet(day.toString())
+            else:
+                fs.delete(day, True)
+            changed += 1
+    return changed
+
+
+def retain(spark: SparkSession, path: str, tenants: DataFrame, now_ms: int) -> int:
+    """Apply every listed tenant's tier to a stored table (``prune_table``); ``tenants`` is a small table."""
+    keep = lambda tier: now_ms - TIER_DAYS.get(tier, DEFAULT_DAYS) * DAY_MS
+    return sum(prune_table(spark, path, keep(r["tier"]), tenant=str(r["id"])) for r in tenants.select("id", "tier").toLocalIterator())
+
+
+def archive_table(spark: SparkSession, path: str, archive: str, cutoff_ms: int) -> int:
+    """Archive what is older than ``cutoff_ms``, then prune it: the hot table shrinks only after the archive is written."""
+    stored = read_stored(spark, path)
+    write_archive(archive_split(stored, cutoff_ms)[0].drop("date"), archive)
+    return prune_table(spark, path, cutoff_ms)
+
+
 def archive_split(df: DataFrame, cutoff_ms: int, time: str = "timestamp") -> tuple[DataFrame, DataFrame]:
     """(to archive, stays hot): one predicate and its complement."""
     old = F.col(time) < at_ms(cutoff_ms)
-    return df.where(old), df.where(~F.coalesce(old, F.lit(False)))
+    expired, hot = df.where(old), df.where(~F.coalesce(old, F.lit(False)))
+    if ("date", "date") in df.dtypes:  # whole days drop out of either scan
+        day = F.date_from_unix_date(F.lit(cutoff_ms // DAY_MS).cast("int"))
+        expired, hot = expired.where(F.col("date") <= day), hot.where(F.col("date").isNull() | (F.col("date") >= day))
+    return expired, hot
 
 
 def write_archive(old: DataFrame, path: str) -> None:
@@ -96,7 +146,7 @@ def purge_old_rows(df: DataFrame, time: str, now_ms: int, days: int) -> DataFram
 def billing_meter(logs: DataFrame, tenants: DataFrame, day_ms: int) -> DataFrame:
     """Per tenant: rows and message bytes of one UTC day; silent tenants count 0."""
     start = day_ms - day_ms % DAY_MS
-    day = logs.where((F.col("timestamp") >= at_ms(start)) & (F.col("timestamp") < at_ms(start + DAY_MS)))
+    day = time_between(logs, start, start + DAY_MS - 1).where(F.col("timestamp") < at_ms(start + DAY_MS))
     used = day.groupBy("tenant_id").agg(F.count("*").alias("_rows"), F.sum(F.octet_length("message")).alias("_bytes"))
     listed = tenants.select(F.col("id").cast("string").alias("tenant_id"))
     return listed.join(used, "tenant_id", "left").select(

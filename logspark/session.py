@@ -27,7 +27,8 @@ def local_session(cores: str | int = "*", app: str = "logspark") -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where the setting is absent (tests, a laptop) is a temporary folder used instead.
+    Only where the setting is absent and the session is local (tests, a laptop) is a temporary folder
+    used instead; on a cluster its absence is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -37,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
     folder = tempfile.mkdtemp(prefix="logspark-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -59,29 +59,49 @@ def stream_rate_limit(requests: DataFrame, limit: int = 100, window: str = "60 s
     return counted.where(F.col("requests") > limit).select("client", ms(F.col("window.start")).alias("from_ms"), ms(F.col("window.end")).alias("to_ms"), "requests")
 
 
-def stream_alert_suppression(alerts: DataFrame, gap_ms: int = HOUR_MS) -> DataFrame:
+def stream_alert_suppression(alerts: DataFrame, gap_ms: int = HOUR_MS, lateness: str | None = None) -> DataFrame:
     """Alerts that fire: none with the same fingerprint *fired* in the last ``gap_ms``.
 
-    ``alerts`` = ``fingerprint, ts_ms``. The state per fingerprint is one number. A micro-batch is
-    folded in time order; an alert older than the last fired one never fires.
+    ``alerts`` = ``fingerprint, ts_ms``. With ``lateness`` an alert is held until the watermark has passed it,
+    so what fires does not depend on how alerts are spread over micro-batches; state is dropped once
+    nothing is held and the gap is over. Instants that repeat are held once, so a busy fingerprint holds
+    at most the instants of ``lateness``. Without it every micro-batch is folded at once, in time order,
+    and an alert older than the last fired one never fires.
     """
+    held = lateness is not None
 
     def fire(key, batches, state: GroupState):
         import numpy as np
         import pandas as pd
 
-        last = state.get[0] if state.exists else None
-        times = np.unique(np.concatenate([b["ts_ms"].to_numpy(np.int64) for b in batches]))
+        last, waiting = state.get if state.exists else (None, [])
+        parts = [np.array(waiting or [], dtype=np.int64)]
+        if not state.hasTimedOut:
+            parts += [b["ts_ms"].to_numpy(np.int64) for b in batches]
+        times = np.unique(np.concatenate(parts))
+        passed = state.getCurrentWatermarkMs() if held else None
+        ready = times if passed is None else times[times <= passed]
         fired = []
-        at = 0 if last is None else int(np.searchsorted(times, last + gap_ms, "left"))
-        while at < len(times):
-            last = int(times[at])
+        at = 0 if last is None else int(np.searchsorted(ready, last + gap_ms, "left"))
+        while at < len(ready):
+            last = int(ready[at])
             fired.append(last)
-            at = int(np.searchsorted(times, last + gap_ms, "left"))
-        if last is not None:
-            state.update((last,))
+            at = int(np.searchsorted(ready, last + gap_ms, "left"))
+        rest = times[len(ready) :].tolist()
+        if held:
+            wake = rest[0] if rest else (last or 0) + gap_ms
+            if rest or wake > passed:
+                state.update((last, rest))
+                state.setTimeoutTimestamp(max(wake, passed + 1))
+            elif state.exists:
+                state.remove()
+        elif last is not None:
+            state.update((last, []))
         yield pd.DataFrame({"fingerprint": [key[0]] * len(fired), "ts_ms": fired})
 
+    if held:
+        alerts = alerts.withColumn("_at", F.timestamp_millis("ts_ms")).withWatermark("_at", lateness)
+    timeout = GroupStateTimeout.EventTimeTimeout if held else GroupStateTimeout.NoTimeout
     return alerts.groupBy("fingerprint").applyInPandasWithState(
-        fire, "fingerprint string, ts_ms long", "last long", "append", GroupStateTimeout.NoTimeout
+        fire, "fingerprint string, ts_ms long", "last long, waiting array<long>", "append", timeout
     )

@@ -188,7 +188,7 @@ def test_emerged_and_resolved(frame):
     assert [(e.kind, e.severity, e.priority_before, e.priority_after) for e in events.collect()] == [("emerged", "HIGH", "none", "P1"), ("resolved", "LOW", "P2", "resolved")]
     report = R.drift_report(events, a, b, "r1", "r2").first()
     assert (report.emerged, report.resolved, report.matched_pairs) == (1, 1, 0)
-    assert report.summary.startswith("Between run r1 and r2, system health degraded (Δ-0.17).") and "1 new failure pattern(s) emerged." in report.summary
+    assert report.summary.startswith("r1 -> r2: health worse (-0.17).") and "New: 1." in report.summary
 
 
 def test_health(frame):
@@ -249,7 +249,7 @@ def test_analyze(frame):
     assert (panic.priority, panic.anomaly_label) == ("P0", "high_risk_anomaly")
     link = done.links.first()
     assert (link.source_service, link.target_service, link.avg_delay_ms, link.occurrences) == ("api", "db", 50.0, 20)
-    assert done.incident.first().run_id == "r9" and done.incident.first().summary.startswith("Detected ")
+    assert done.incident.first().run_id == "r9" and done.incident.first().summary == "4 clusters in 61 lines"
     status = {r.cluster_id: r.status for r in done.telemetry.collect()}
     assert set(status.values()) <= {"correlated", "no_data_in_window", "skipped_non_incident", "skipped_noise"} and len(status) == done.clusters.count()
 

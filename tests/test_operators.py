@@ -230,9 +230,11 @@ def test_payloads(frame):
     body = {r.channel_type: json.loads(r.body) for r in G.alert_payloads(G.route_alerts(alerts, targets)).collect()}
     blocks = [b["type"] for b in body["slack"]["blocks"]]
     assert blocks == ["header", "section", "divider", "section", "section", "section", "section", "context"]
-    assert "• `a` → `b` (90% confidence, 12ms delay)" in body["slack"]["blocks"][6]["text"]["text"] and body["slack"]["blocks"][5]["text"]["text"].endswith("• a\n• b\n• c")
+    assert "- a > b: 90%, 12 ms" in body["slack"]["blocks"][6]["text"]["text"] and body["slack"]["blocks"][5]["text"]["text"].endswith("- a\n- b\n- c\n- d")
     page = body["pagerduty"]
-    assert page["payload"]["severity"] == "critical" and page["payload"]["summary"].endswith("s" * 150) and len(page["payload"]["custom_details"]["representative_log"]) == 300
+    assert page["payload"]["severity"] == "critical" and page["payload"]["summary"].endswith(" " + "s" * 200) and page["payload"]["custom_details"]["representative_log"] == "log " * 200
+    short = {r.channel_type: json.loads(r.body) for r in G.alert_payloads(G.route_alerts(alerts, targets), log_chars=10, hints=1).collect()}
+    assert short["pagerduty"]["payload"]["custom_details"]["representative_log"] == "log log lo" and short["slack"]["blocks"][5]["text"]["text"].endswith("- a")
     assert body["teams"]["sections"][0]["facts"][1]["value"] == "0.988" and body["generic"]["fingerprint"] == page["dedup_key"] and body["generic"]["cluster_id"] == 3
 
 

@@ -83,6 +83,14 @@ def test_suppression_over_batches(spark, frame, tmp_path):
     assert got == sorted(r.ts_ms for r in batch.collect() if r.fired) == [0, 10, 20, 31, 41, 55]
 
 
+@pytest.mark.parametrize("batches", [[[1, 6, 10, 11, 12, 21, 32, 33, 42, 56, 56, 500]], [[12, 33, 1], [11, 10, 56, 32], [6, 21, 42], [56, 500]]])
+def test_held_suppression_does_not_depend_on_batches(spark, frame, tmp_path, batches):
+    stream = log_stream(spark, frame, tmp_path, batches).select(F.lit("f").alias("fingerprint"), (F.unix_millis("timestamp") / 1000).cast("long").alias("ts_ms"))
+    fired = KS.stream_alert_suppression(stream, 10, "100 milliseconds")
+    finish(fired.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(**ONCE).start())
+    assert sorted(r.ts_ms for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 11, 21, 32, 42, 56]
+
+
 def test_watch_directory(spark, tmp_path):
     seen = []
     (tmp_path / "in").mkdir()
