@@ -13,7 +13,7 @@ from logspark.session import cut_lineage
 
 SEGMENT = 20  # log2 of the counters that are merged as one piece
 PROBES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-FLUSH = 4_000_000
+FLUSH = 1_000_000  # hashes a task holds before it writes them out
 
 
 def width_for(hashes: float, most: int) -> int:
@@ -27,6 +27,17 @@ def spots(hashes: np.ndarray, width: int) -> list[np.ndarray]:
     return [mix(hashes * np.uint64(p)) >> shift for p in PROBES]
 
 
+def _pack(places: np.ndarray) -> bytes:
+    """Sorted places as gaps of two bytes each, or four where a gap is too wide."""
+    gaps = np.diff(places, prepend=np.uint32(0))
+    wide = len(gaps) and gaps.max() > 0xFFFF
+    return (b"4" + gaps.astype(np.uint32).tobytes()) if wide else (b"2" + gaps.astype(np.uint16).tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, dtype=np.uint32 if data[:1] == b"4" else np.uint16, offset=1), dtype=np.int64)
+
+
 def _tally(make: Callable[[pa.RecordBatch], np.ndarray], cut, width: int):
     """Sparse partial sketches: per segment the counters hit once and those hit again."""
 
@@ -35,7 +46,7 @@ def _tally(make: Callable[[pa.RecordBatch], np.ndarray], cut, width: int):
         segment = (at >> np.uint64(SEGMENT)).astype(np.int32)
         low = (at & np.uint64((1 << SEGMENT) - 1)).astype(np.uint32)
         edges = [*np.flatnonzero(np.concatenate(([True], np.diff(segment) > 0))).tolist(), len(at)]
-        rows = [(int(segment[a]), low[a:b].tobytes(), low[a:b][n[a:b] > 1].tobytes()) for a, b in zip(edges, edges[1:])]
+        rows = [(int(segment[a]), _pack(low[a:b]), _pack(low[a:b][n[a:b] > 1])) for a, b in zip(edges, edges[1:])]
         for i in range(0, len(rows), 64):
             s, once, twice = zip(*rows[i : i + 64])
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["segment", "once", "twice"])
@@ -64,10 +75,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, a, b in zip(*(batch.column(c).to_pylist() for c in ("segment", "once", "twice"))):
             if s not in once:
                 once[s], twice[s] = np.zeros(1 << SEGMENT, dtype=bool), np.zeros(1 << SEGMENT, dtype=bool)
-            at = np.frombuffer(a, dtype=np.uint32)
+            at = _unpack(a)
             twice[s][at[once[s][at]]] = True
             once[s][at] = True
-            twice[s][np.frombuffer(b, dtype=np.uint32)] = True
+            twice[s][_unpack(b)] = True
     for s in once:
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(twice[s], bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
 

@@ -9,10 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from logspark.llm import sketch
-from logspark.llm.words import BASES, NON_SPACE, Words, covered, mix, pieces, spans_hash
-from logspark.session import scratch_path
+from logspark.llm.words import BASES, NON_SPACE, Words, covered, distinct, mix, pieces, spans_hash
 
-GRAM = 8  # words of the anchor that stands for a window in the sketch
+GRAM = 6  # words of the anchor that stands for a window in the sketch
 MOST_BITS = 29  # 64 MB of seen-twice bits; more anchors than they tell apart only make more suspects
 FIRST = -(2**63)  # what a null id counts as
 
@@ -49,8 +48,7 @@ class Spots:
         if not len(self.at):
             return self.anchor
         fresh = np.concatenate(([True], (self.anchor[1:] != self.anchor[:-1]) | (self.row[1:] != self.row[:-1])))
-        pairs = np.unique(np.stack([self.row[fresh].astype(np.uint64), self.anchor[fresh]]), axis=1) if fresh.any() else None
-        return pairs[1]
+        return distinct(self.row[fresh], self.anchor[fresh])[1]
 
 
 def _anchors(text: str, n: int):
@@ -62,50 +60,37 @@ def _docs(column: pa.Array) -> np.ndarray:
 
 
 def _suspects(twice, n: int):
-    """Per document: its text if any window is suspected; the suspected windows; those repeated here already.
+    """Suspected windows of a batch: hash, the smallest id that has it here, and the other ids here, if any.
 
-    Of equal windows in a batch only that of the smallest id goes on to the exchange; the others are
-    settled, so a window of very many documents is one entry per batch.
+    So a window of very many documents is one row per batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            words = Words(batch.column("text"), NON_SPACE, lower=False)
-            spots = Spots(words, n)
+            spots = Spots(Words(batch.column("text"), NON_SPACE, lower=False), n)
             likely = np.flatnonzero(twice.value(spots.anchor)) if len(spots.at) else np.zeros(0, np.int64)
-            doc = _docs(batch.column("id"))
-            key, other, row = spots.key[likely], spots.other[likely], spots.row[likely]
-            order = np.lexsort((doc[row], other, key))
-            key, other, row = key[order], other[order], row[order]
-            new = np.concatenate(([True], (key[1:] != key[:-1]) | (other[1:] != other[:-1]))) if len(key) else np.zeros(0, bool)
-            head = doc[row][new][np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
-            known = doc[row] > head  # a smaller id in this batch has the same window
-            by = np.argsort(row, kind="stable")
-            cut = np.searchsorted(row[by], np.arange(batch.num_rows + 1))
-            send, settled = [], []
-            for i in range(batch.num_rows):
-                mine = by[cut[i] : cut[i + 1]]
-                first, sure = mine[new[mine]], mine[known[mine]]
-                send.append({"key": key[first].view(np.int64), "other": other[first].view(np.int32)})
-                settled.append(np.unique(key[sure]).view(np.int64))
-            sizes = np.array([len(s["key"]) for s in send])
-            lists = lambda part, kind: pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], np.cumsum([len(p) for p in part]))).astype(np.int32)), pa.array(np.concatenate(part) if len(part) else np.zeros(0), kind))
-            keep = pa.array([t if s or len(k) else None for t, s, k in zip(batch.column("text").to_pylist(), sizes, settled)], pa.string())
+            if not len(likely):
+                continue
+            doc = _docs(batch.column("id"))[spots.row[likely]]
+            key, other = spots.key[likely], spots.other[likely]
+            order = np.lexsort((doc, other, key))
+            key, other, doc = key[order], other[order], doc[order]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1])
+            fresh = new.copy()
+            fresh[1:] |= doc[1:] != doc[:-1]
+            key, other, doc, new = key[fresh], other[fresh], doc[fresh], new[fresh]
+            heads = np.flatnonzero(new)
+            extra = np.diff(np.append(heads, len(new))) - 1
+            ends = np.concatenate(([0], np.cumsum(extra))).astype(np.int32)
+            more = pa.ListArray.from_arrays(pa.array(ends), pa.array(doc[~new]), mask=pa.array(extra == 0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(words.counts, pa.int64()), keep, _whole(words, keep),
-                 lists([s["key"] for s in send], pa.int64()), lists([s["other"] for s in send], pa.int32()), lists(settled, pa.int64())],
-                ["id", "n_words", "text", "kept", "key", "other", "settled"],
+                [pa.array(key[heads].view(np.int64)), pa.array(other[heads].view(np.int32)), pa.array(doc[heads]), more], ["key", "other", "doc", "more"],
             )
 
     return run
 
 
-def _whole(words: Words, held: pa.Array) -> pa.Array:
-    """Words of documents without suspects, joined by one space."""
-    return pa.array([None if held[i].is_valid else words.text(int(words.first[i]), int(words.first[i + 1])).decode() for i in range(len(held))], pa.string())
-
-
 def _cut(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -113,10 +98,11 @@ def _cut(n: int):
             spots = Spots(words, n)
             gone = np.zeros(len(spots.at), dtype=bool)
             cuts = np.searchsorted(spots.row, np.arange(batch.num_rows + 1))
-            for i, (a, b) in enumerate(zip(batch.column("settled").to_pylist(), batch.column("gone").to_pylist())):
-                if a or b:
+            keys = batch.column("gone")
+            for i in range(batch.num_rows):
+                if keys[i].is_valid:
                     own = slice(cuts[i], cuts[i + 1])
-                    gone[own] = np.isin(spots.key[own].view(np.int64), np.array([*(a or ()), *(b or ())], dtype=np.int64))
+                    gone[own] = np.isin(spots.key[own].view(np.int64), keys[i].values.to_numpy(zero_copy_only=False))
             hit = covered(spots.at[gone], n, len(words.starts))
             kept, removed = [], []
             for i in range(batch.num_rows):
@@ -124,7 +110,7 @@ def _cut(n: int):
                 stays = np.flatnonzero(~hit[a:b]) + a
                 removed.append(b - a - len(stays))
                 kept.append(b" ".join(words.data[words.starts[j] : words.ends[j]].tobytes() for j in stays).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -138,29 +124,22 @@ def drop_repeated_windows(docs: DataFrame, n: int = 13, id_col: str = "doc_id",
     First pass: a count-min sketch (two rows of counters that stop at two), merged from partial sketches,
     over the anchors of every document's windows (``Spots``). It overestimates, so no repeated window is
     lost. Second pass: windows whose anchor may occur in two documents are grouped exactly by 96 bits
-    of their hash; equal windows of one batch are settled there, so a window in a third of all
-    documents sends one row per batch. Only suspected documents keep their text for the cut. The
-    sketch has a fixed upper bound (``MOST_BITS``); beyond it more windows are suspected and
+    of their hash; equal windows of one batch are one row, so a window in a third of all documents
+    sends one row per batch. What is found joins the texts by id for the cut. The sketch has a fixed upper bound (``MOST_BITS``); beyond it more windows are suspected and
     shuffled, with the same result.
 
     Null and empty texts have no words. Null ids are one document that comes first; rows repeating an id
     are one document too and do not empty each other. Empty table: no rows. Other columns are ignored,
     whatever their names.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     width = sketch.width_for(sketch.text_bytes(rows, "text") / 20, MOST_BITS)
     twice = sketch.seen_twice(rows.select("text"), _anchors("text", n), lambda b: pieces(b, "text"), width)
-    path = scratch_path(spark, "window-suspects")
-    rows.mapInArrow(
-        _suspects(twice, n), "id long, n_words long, text string, kept string, key array<long>, other array<int>, settled array<long>",
-    ).write.parquet(path)
-    found = spark.read.parquet(path)
-    doc = F.coalesce("id", F.lit(FIRST))
-    each = found.where(F.size("key") > 0).select(doc.alias("doc"), F.explode(F.arrays_zip("key", "other")).alias("w")).select("doc", "w.*")
-    same = Window.partitionBy("key", "other")
-    gone = each.withColumn("first", F.min("doc").over(same)).where("doc > first").groupBy("doc").agg(F.collect_set("key").alias("gone"))
-    suspects = found.where("text IS NOT NULL").select("id", "n_words", "text", "settled", doc.alias("doc")).join(gone, "doc", "left").drop("doc")
-    cut = suspects.mapInArrow(_cut(n), "id long, n_words long, n_removed long, kept string")
-    settled = found.where("text IS NULL").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
-    return settled.unionByName(cut).withColumnRenamed("id", id_col)
+    each = rows.mapInArrow(_suspects(twice, n), "key long, other int, doc long, more array<long>")
+    each = each.withColumn("first", F.min("doc").over(Window.partitionBy("key", "other")))
+    beaten = F.when(F.col("doc") > F.col("first"), F.array("doc"))
+    none = F.array().cast("array<long>")
+    hits = each.select("key", F.explode(F.concat(F.coalesce(beaten, none), F.coalesce("more", none))).alias("doc"))
+    gone = hits.groupBy("doc").agg(F.collect_set("key").alias("gone"))
+    both = rows.join(gone, F.coalesce("id", F.lit(FIRST)) == F.col("doc"), "left").select("id", "text", "gone")
+    return both.mapInArrow(_cut(n), "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)

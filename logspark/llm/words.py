@@ -98,7 +98,7 @@ class Words:
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[i:j], self.ends[i:j]))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` bytes of text (a longer text is a slice of its own)."""
     for batch in batches:
         if not batch.num_rows:
@@ -110,6 +110,15 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
             yield batch.slice(a, b - a)
 
 
+def distinct(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (row, key), each once, sorted."""
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    return row[new], key[new]
+
+
 def by_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of ``values`` (one per word) for every row."""
     total = np.zeros(len(values) + 1, dtype=np.int64)
