@@ -12,7 +12,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logspark.llm.words import ALNUM, BASES, Words, mix, pieces, spans_hash
+from logspark.llm.words import ALNUM, BASES, Words, distinct, mix, pieces, spans_hash
 from logspark.session import cut_lineage, scratch_path
 
 PER_CLASS = 10_000  # labelled rows of each class that the lexicon and the classifier are fitted on, at most
@@ -46,11 +46,11 @@ def entries(words: Words) -> tuple[np.ndarray, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         row, key = entries(Words(batch.column("text"), ALNUM, lower=True))
-        pair = np.unique(np.stack([key, row.astype(np.uint64)]), axis=1) if len(key) else np.zeros((2, 0), np.uint64)
-        toxic = batch.column("toxic").to_numpy(zero_copy_only=False)[pair[1].astype(np.int64)]
-        key, start = np.unique(pair[0], return_index=True)
+        every, row = distinct(key, row)
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False)[row]
+        key, start = np.unique(every, return_index=True)
         hits = np.add.reduceat(toxic, start) if len(key) else np.zeros(0, np.int64)
-        total = np.diff(np.append(start, pair.shape[1]))
+        total = np.diff(np.append(start, len(every)))
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(hits.astype(np.int64)), pa.array((total - hits).astype(np.int64))], ["entry", "toxic", "clean"])
 
 
@@ -67,9 +67,9 @@ def _present(lexicon: np.ndarray):
             likely = np.flatnonzero(seen[key >> np.uint64(64 - _BITS)])
             spot = np.searchsorted(keys, key[likely]).clip(max=len(keys) - 1)
             true = keys[spot] == key[likely]
-            pair = np.unique(np.stack([row[likely][true], number[spot[true]]]), axis=1)
-            first = np.searchsorted(pair[0], np.arange(batch.num_rows + 1))
-            found = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(pair[1].astype(np.int32)))
+            held, entry = distinct(row[likely][true], number[spot[true]])
+            first = np.searchsorted(held, np.arange(batch.num_rows + 1))
+            found = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(entry.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), found], ["id", "entries"])
 
     return run
