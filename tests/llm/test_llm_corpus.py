@@ -1,5 +1,6 @@
 """Operators on the corpus as a whole: near-duplicates, mixing, sharding, toxicity, chat."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -184,7 +185,7 @@ def test_chat(spark):
     got = chat.perspectives(frame, part_chars=500).collect()
     want = defaultdict(list)
     for conv in (1, None, 3):
-        mine = sorted({t[1:] for t in turns if t[0] == conv}, key=lambda t: (t[0] is None, t[0], t[1] or "", t[2] or ""))
+        mine = sorted({t[1:] for t in turns if t[0] == conv}, key=lambda t: (t[0] is None, t[0], t[1] or "", hashlib.md5((t[2] or "").encode()).digest()))
         for who in {t[1] for t in mine} - {None, "system"}:
             for _, speaker, text in mine:
                 kind = "system" if speaker in (None, "system") else "assistant" if speaker == who else f"user name={speaker}"
