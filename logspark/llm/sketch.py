@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from logspark.llm.words import mix
-from logspark.session import cut_lineage
 
 SEGMENT = 20  # log2 of the counters that are merged as one piece
 PROBES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)

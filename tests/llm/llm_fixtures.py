@@ -1,3 +1,5 @@
+"""Documents with every awkward case, shared by the tests of this folder."""
+
 import random
 
 import pytest

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import docs, none, rows  # noqa: F401
 from logspark.llm import chat, mixing, near_dedup, sharding, toxicity
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

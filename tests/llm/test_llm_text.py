@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from llm_fixtures import docs, none, rows  # noqa: F401
 from logspark.llm import decontaminate, exact_dedup, line_dedup, secrets, substring
 from logspark.session import scratch_path
 
