@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -276,3 +277,36 @@ def test_skewed_tenant_is_spread(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     back = B.read_stored(spark, str(tmp_path / "w"))
     assert back.select(F.input_file_name()).distinct().count() > 1 and back.count() == 40_000
+
+
+DAY = 86_400_000
+
+
+def stored_days(spark, frame, path):
+    rows = [(t, d * DAY + h * 3_600_000, "svc", "INFO", f"m{d}") for t in ("1", "2") for d in range(10, 15) for h in (1, 13)]
+    logs = frame(rows, "tenant_id string, ms long, source string, level string, message string").withColumn("timestamp", F.timestamp_millis("ms")).withColumn("raw_json", F.lit("{}"))
+    B.write_logs(logs.drop("ms"), path)
+    return B.read_stored(spark, path)
+
+
+def test_prune_drops_days_and_rewrites_the_boundary(spark, frame, tmp_path):
+    path = str(tmp_path / "logs")
+    stored_days(spark, frame, path)
+    assert B.prune_table(spark, path, 12 * DAY + 6 * 3_600_000, tenant="1") == 3
+    left = sorted((r.tenant_id, r.message) for r in B.read_stored(spark, path).collect())
+    assert left == sorted([("1", "m12")] + [("1", m) for m in ("m13", "m14") for _ in (0, 1)] + [("2", f"m{d}") for d in range(10, 15) for _ in (0, 1)])
+    tiers = frame([("1", "pro"), ("2", "free")], "id string, tier string")
+    B.retain(spark, path, tiers, 20 * DAY)  # 7 days for the free tier
+    assert sorted({(r.tenant_id, r.message) for r in B.read_stored(spark, path).collect()}) == [("1", "m12"), ("1", "m13"), ("1", "m14"), ("2", "m13"), ("2", "m14")]
+    assert B.archive_table(spark, path, str(tmp_path / "old"), 14 * DAY) == 3
+    assert B.read_stored(spark, path).count() == 4 and spark.read.json(str(tmp_path / "old")).count() == 5
+
+
+def test_windows_reach_the_partitions(spark, frame, tmp_path):
+    logs = stored_days(spark, frame, str(tmp_path / "logs"))
+    slos = frame([(1, "1", "n", "svc", "availability", 99.0, 2)], "id long, tenant_id string, name string, service string, sli_type string, target_percentage double, window_days int")
+    monitors = [{"id": 1, "name": "m", "query": "level:INFO", "threshold_critical": 5, "window_seconds": 86_400}]
+    for df in (J.slo_status(logs, slos, 15 * DAY), J.evaluate_monitors(logs, monitors, 15 * DAY), B.archive_split(logs, 12 * DAY)[0], B.billing_meter(logs, frame([("1", "pro")], "id string, tier string"), 12 * DAY)):
+        assert re.search(r"PartitionFilters: \[[^\]]*date", plan_of(df))
+    assert [(r.matches, r.state) for r in J.evaluate_monitors(logs, monitors, 15 * DAY).collect()] == [(4, "OK")]
+    assert J.evaluate_monitors(logs, [], 0).count() == 0
