@@ -18,7 +18,7 @@ SHINGLE = 5
 TABLES = 12
 MINIMA = 3
 LEAST = 0.8
-FULL_TURNS = 4
+FULL_TURNS = 3
 
 
 class Shingles:
@@ -133,15 +133,22 @@ def _align(size: int, least: float):
     return run
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, which leaves no plan or constraints of earlier turns behind."""
+    path = scratch_path(df.sparkSession, "turn")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _components(links: DataFrame) -> DataFrame:
     """``a, b`` -> ``node, label``: least labels spread along links and through the labels themselves until none changes."""
-    both = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
+    both = settled(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = settled(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         told = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("heard"))
         spread = labels.join(told, labels["node"] == told["a"]).select("node", "label", F.least("label", "heard").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("next"))
-        after = cut_lineage(spread.join(jump, "new").select("node", "label", F.least("new", "next").alias("new")))
+        after = settled(spread.join(jump, "new").select("node", "label", F.least("new", "next").alias("new")))
         if after.where("label <> new").isEmpty():
             return labels
         labels = after.select("node", F.col("new").alias("label"))
@@ -172,37 +179,34 @@ def near_links(sketched: DataFrame, texts: DataFrame, tables: int, size: int, le
     (the bucket and the sketch of the next table), until no bucket has two. Buckets of texts that
     share a common passage thus fall apart by themselves, and none is ever listed by pairs.
     """
-    alike = cut_lineage(sketched.select("node", "n", F.posexplode("keys").alias("t", "bucket")).withColumn("linked", F.lit(False)))
+    alike = settled(sketched.select("node", "n", F.posexplode("keys").alias("t", "bucket")).withColumn("linked", F.lit(False)))
     seen = links = None
     turn = 0
     while True:
         turn += 1
         head = F.min(F.struct("linked", F.xxhash64("node", "t", F.lit(turn)).alias("order"), "node", "n"))
-        leaders = cut_lineage(alike.groupBy("bucket").agg(head.alias("h"), F.count("*").alias("m")).where("m > 1 AND NOT h.linked").select(
+        leaders = settled(alike.groupBy("bucket").agg(head.alias("h"), F.count("*").alias("m")).where("m > 1 AND NOT h.linked").select(
             F.col("bucket").alias("of"), F.col("h.node").alias("leader"), F.col("h.n").alias("leader_n")))
-        members = cut_lineage(alike.join(leaders, (F.col("bucket") == F.col("of")) & (F.col("node") != F.col("leader"))).drop("of"))
+        members = settled(alike.join(leaders, (F.col("bucket") == F.col("of")) & (F.col("node") != F.col("leader"))).drop("of"))
         if members.isEmpty():
             break
         fits = F.least("n", "leader_n") >= least * F.greatest("n", "leader_n")
         pairs = members.where(fits).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
         both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
-        scored = cut_lineage(both.mapInArrow(_align(size, least), "a binary, b binary, similarity double"))
-        seen = scored.select("a", "b") if seen is None else cut_lineage(seen.unionByName(scored.select("a", "b")))
+        scored = settled(both.mapInArrow(_align(size, least), "a binary, b binary, similarity double"))
         good = scored.where(F.col("similarity") >= least)
-        links = good if links is None else cut_lineage(links.unionByName(good))
+        seen = scored.select("a", "b") if seen is None else seen.unionByName(scored.select("a", "b"))
+        links = good if links is None else links.unionByName(good)
         hit = links.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.lit(True).alias("hit"))
-        left = cut_lineage(members.join(hit, ["leader", "node"], "left").select("bucket", "t", "node", "n", (F.col("linked") | F.coalesce("hit", F.lit(False))).alias("linked")))
-        mixed = cut_lineage(left.groupBy("bucket").agg(F.bool_and("linked").alias("done")).where("NOT done").select(F.col("bucket").alias("of")))
-        left = left.join(mixed, F.col("bucket") == F.col("of")).drop("of")
+        left = members.join(hit, ["leader", "node"], "left").select("bucket", "t", "node", "n", (F.col("linked") | F.coalesce("hit", F.lit(False))).alias("linked"))
         if turn >= FULL_TURNS:
             left = left.where("NOT linked").join(sketched.select("node", "keys"), "node")
             longer = F.xxhash64("bucket", F.element_at("keys", (F.col("t") + turn) % tables + 1))
             left = left.select("node", "n", "t", longer.alias("bucket"), "linked")
-        alike = cut_lineage(left.select("node", "n", "t", "bucket", "linked"))
+        alike = settled(left.select("node", "n", "t", "bucket", "linked"))
     return links
 
 
