@@ -18,7 +18,10 @@ SHINGLE = 5
 TABLES = 12
 MINIMA = 3
 LEAST = 0.8
-FULL_TURNS = 3
+LEADERS = 3  # turns of leaders; how much is left to the exact way, not what is found
+SLOTS = 20  # log2 of the counters that tell rare shingles from common ones
+PIECE = 14  # log2 of those summed as one piece
+BLOCK = 256  # texts of one shingle that are joined with each other in one piece
 
 
 class Shingles:
@@ -169,45 +172,134 @@ def _texts(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return held.mapInArrow(same, "node binary, text string")
 
 
-def near_links(sketched: DataFrame, texts: DataFrame, tables: int, size: int, least: float) -> DataFrame:
-    """``a, b, similarity`` between distinct texts, enough to connect every group.
+def _tally(size: int):
+    """How often labels fall into each of ``1 << SLOTS`` slots, per task: pieces of counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOTS, dtype=np.int64)
+        for batch in pieces(batches, "text"):
+            label = Shingles(Words(batch.column("text"), ALNUM, lower=True), size).label
+            total += np.bincount((label >> np.uint64(64 - SLOTS)).astype(np.int64), minlength=1 << SLOTS)
+        parts = [x.tobytes() for x in total.reshape(-1, 1 << PIECE)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["piece", "counts"])
+
+    return run
+
+
+def _sum_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, counts in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist()):
+            sums[k] = sums.get(k, 0) + np.frombuffer(counts, dtype=np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "counts"])
+
+
+def _rare(often: np.ndarray, size: int, least: float):
+    """The rarest labels of every text, as many as any similar text must share one of, with their rank and place.
+
+    Ranks follow one order of all labels: of their slot's count, then of the label. A slot of count one
+    holds a label of no other text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            shingles = Shingles(Words(batch.column("text"), ALNUM, lower=True), size)
+            common = often[(shingles.label >> np.uint64(64 - SLOTS)).astype(np.int64)]
+            order = np.lexsort((shingles.label, common, shingles.row))
+            row = shingles.row[order]
+            n = np.diff(shingles.first)[row]
+            rank = np.arange(len(order)) - shingles.first[row]
+            kept = (rank <= n - np.ceil(least * n - 1e-9)) & (common[order] > 1)
+            order, row, n, rank = order[kept], row[kept], n[kept], rank[kept]
+            held = batch.take(pa.array(row, pa.int64()))
+            place = order - shingles.first[row]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shingles.label[order].view(np.int64)), held.column("node"), held.column("label"), *(pa.array(x.astype(np.int64)) for x in (n, rank, place))],
+                ["gram", "node", "label", "n", "rank", "place"])
+
+    return run
+
+
+def _similar(texts: DataFrame, size: int, least: float) -> DataFrame:
+    """``a, b``: every pair of ``node, label, text`` of unlike labels that can be ``least`` similar; no such pair is missed.
+
+    Of the shingles that an alignment matches, the rarest is among the rare ones of both texts: its rank and
+    its place leave room for the others before and after it. Shingles of many texts are joined block by block.
+    """
+    sums = texts.mapInArrow(_tally(size), "piece int, counts binary").repartition("piece").mapInArrow(_sum_pieces, "piece int, counts binary")
+    often = np.zeros((1 << SLOTS - PIECE, 1 << PIECE), dtype=np.int64)
+    for r in sums.collect():
+        often[r["piece"]] = np.frombuffer(r["counts"], dtype=np.int64)
+    often = np.minimum(often.ravel(), 2**31 - 1).astype(np.int32)
+    schema = "gram long, node binary, label binary, n long, rank long, place long"
+    grams = settled(texts.mapInArrow(_rare(often, size, least), schema))
+    shared = grams.groupBy("gram").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+    shared = shared.select(F.col("gram").alias("of"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    grams = grams.join(shared, F.col("gram") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    grams = settled(grams.drop("of"))
+    side = lambda name, i, j: grams.select("gram", F.expr(i).alias("i"), F.expr(j).alias("j"), *[F.col(c).alias(f"{name}_{c}") for c in ("node", "label", "n", "rank", "place")])
+    pairs = side("a", "block", "explode(sequence(block, blocks - 1))").join(side("b", "explode(sequence(0, block))", "block"), ["gram", "i", "j"])
+    need = F.ceil((F.col("a_n") + F.col("b_n")) * (least / (1 + least)) - 1e-9)
+    before = F.least("a_place", "b_place")
+    after = lambda c: F.least(F.col("a_n") - F.col(f"a_{c}"), F.col("b_n") - F.col(f"b_{c}"))
+    pairs = pairs.where((F.col("a_label") != F.col("b_label")) & ((F.col("i") < F.col("j")) | (F.col("a_node") < F.col("b_node"))))
+    pairs = pairs.where((after("rank") >= need) & (before + after("place") >= need))
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
+def near_links(sketched: DataFrame, texts: DataFrame, size: int, least: float) -> tuple[DataFrame, DataFrame] | None:
+    """``a, b, similarity`` between distinct texts, enough to connect every group, and ``node, label`` of the groups; None without candidates.
 
     In each bucket all members are aligned with one leader, which is linear in the bucket. For
-    ``FULL_TURNS`` turns a bucket that still has unmatched members takes one of them as the next leader for
-    all others, so a text that matches some members but not their first leader is found; the order of
-    leaders is another one in every table. From then on only unmatched members go on, under a longer key
-    (the bucket and the sketch of the next table), until no bucket has two. Buckets of texts that
-    share a common passage thus fall apart by themselves, and none is ever listed by pairs.
+    ``LEADERS`` turns a bucket that is not one group by its last leader takes another of its members, linked or
+    not, as the next leader for those that have not led; the order of leaders is another one in every table. Buckets
+    whose members are then still of several groups are decided exactly: all pairs of their texts that
+    can be similar are found by their rare shingles (``_similar``) and aligned, so every pair of a bucket is either
+    aligned, ruled out by its shingles, or in one group. Texts that share a common passage have few rare
+    shingles alike and are not listed by pairs.
     """
-    alike = settled(sketched.select("node", "n", F.posexplode("keys").alias("t", "bucket")).withColumn("linked", F.lit(False)))
+    alike = settled(sketched.select("node", "n", F.posexplode("keys").alias("t", "bucket")).withColumn("linked", F.lit(False)).withColumn("hit", F.lit(False)))
     seen = links = None
-    turn = 0
-    while True:
-        turn += 1
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
+        both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
+        return settled(both.mapInArrow(_align(size, least), "a binary, b binary, similarity double"))
+
+    for turn in range(1, LEADERS + 1):
         head = F.min(F.struct("linked", F.xxhash64("node", "t", F.lit(turn)).alias("order"), "node", "n"))
-        leaders = settled(alike.groupBy("bucket").agg(head.alias("h"), F.count("*").alias("m")).where("m > 1 AND NOT h.linked").select(
+        leaders = settled(alike.groupBy("bucket").agg(head.alias("h"), F.count("*").alias("m"), F.bool_and("hit").alias("one")).where("m > 1 AND NOT one").select(
             F.col("bucket").alias("of"), F.col("h.node").alias("leader"), F.col("h.n").alias("leader_n")))
-        members = settled(alike.join(leaders, (F.col("bucket") == F.col("of")) & (F.col("node") != F.col("leader"))).drop("of"))
+        members = settled(alike.drop("hit").join(leaders, (F.col("bucket") == F.col("of")) & (F.col("node") != F.col("leader"))).drop("of"))
         if members.isEmpty():
             break
         fits = F.least("n", "leader_n") >= least * F.greatest("n", "leader_n")
-        pairs = members.where(fits).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = members.where(fits).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
-        both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
-        scored = settled(both.mapInArrow(_align(size, least), "a binary, b binary, similarity double"))
+        scored = decided(pairs)
         good = scored.where(F.col("similarity") >= least)
         seen = scored.select("a", "b") if seen is None else seen.unionByName(scored.select("a", "b"))
         links = good if links is None else links.unionByName(good)
-        hit = links.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.lit(True).alias("hit"))
-        left = members.join(hit, ["leader", "node"], "left").select("bucket", "t", "node", "n", (F.col("linked") | F.coalesce("hit", F.lit(False))).alias("linked"))
-        if turn >= FULL_TURNS:
-            left = left.where("NOT linked").join(sketched.select("node", "keys"), "node")
-            longer = F.xxhash64("bucket", F.element_at("keys", (F.col("t") + turn) % tables + 1))
-            left = left.select("node", "n", "t", longer.alias("bucket"), "linked")
-        alike = settled(left.select("node", "n", "t", "bucket", "linked"))
-    return links
+        found = links.select("a", "b", F.lit(True).alias("found"))
+        left = members.withColumn("a", F.least("leader", "node")).withColumn("b", F.greatest("leader", "node")).join(found, ["a", "b"], "left")
+        hit = F.coalesce("found", F.lit(False))
+        alike = settled(left.select("node", "n", "t", "bucket", (F.col("linked") | hit).alias("linked"), hit.alias("hit")))
+    if links is None:
+        return None
+    labels = _components(links)
+    still = alike.join(alike.groupBy("bucket").agg(F.count("*").alias("m"), F.bool_and("hit").alias("one")).where("m > 1 AND NOT one").select("bucket"), "bucket")
+    named = settled(still.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+    unsure = settled(named.join(mixed, "bucket", "left_semi").select("node", "label").distinct())
+    if unsure.isEmpty():
+        return links, labels
+    pairs = _similar(settled(texts.join(unsure, "node").select("node", "label", "text")), size, least)
+    more = decided(pairs.join(seen, ["a", "b"], "left_anti")).where(F.col("similarity") >= least)
+    if more.isEmpty():
+        return links, labels
+    links = links.unionByName(more)
+    return links, _components(links)
 
 
 def near_classes(
@@ -244,10 +336,10 @@ def near_classes(
     _texts(rows, cut_lineage(asked)).write.parquet(path)
     texts = spark.read.parquet(path)
     members = sketched.join(cut_lineage(texts.select("node").distinct()), "node", "left_semi").select("node", "n", "keys").dropDuplicates(["node"])
-    links = near_links(cut_lineage(members), texts, tables, size, least)
+    linked = near_links(cut_lineage(members), texts, size, least)
     classes = nodes.select("node", "rep", "copies")
-    if links is not None:
-        labels = _components(links)
+    if linked is not None:
+        labels = linked[1]
         named = nodes.join(labels, "node", "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
         sums = named.groupBy("label").agg(F.min("rep").alias("rep"), F.sum("copies").alias("copies"))
         classes = cut_lineage(cut_lineage(named.select("node", "label")).join(cut_lineage(sums), "label").select("node", "rep", "copies"))

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,40 @@ def test_near_chain_and_shared_passage(spark):
     assert max(r.class_size for r in found) == 12
 
 
+def test_near_crowded_bucket(spark, monkeypatch):
+    """All texts in one bucket and in no other: every pair is decided, however many groups there are."""
+    real = near_dedup._sketches
+
+    def crowded(tables, minima, size):
+        run = real(tables, minima, size)
+
+        def crowd(batches):
+            for batch in run(batches):
+                names = [int.from_bytes(x[:7], "big") for x in batch.column("node").to_pylist()]
+                keys = pa.array([[7] + [x * 64 + t for t in range(1, tables)] for x in names], pa.list_(pa.int64()))
+                yield batch.set_column(batch.schema.names.index("keys"), "keys", keys)
+
+        return crowd
+
+    monkeypatch.setattr(near_dedup, "_sketches", crowded)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8, raising=False)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared, rows = [word() for _ in range(60)], []
+    for family in range(10):
+        text = shared + [word() for _ in range(90)]
+        for _ in range(7):
+            rows.append((len(rows), " ".join(text)))
+            text = list(text)
+            text[60 + rng.randrange(90)] = word()
+            text[60 + rng.randrange(90)] = word()
+    rows += [(100 + i, " ".join(shared + [word() for _ in range(80)])) for i in range(20)]
+    found = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_classes(rows)
+    assert {r.doc_id: (r.class_id, r.class_size) for r in found} == want
+    assert sorted(Counter(c for c, _ in want.values()).values()) == [1] * 20 + [7] * 10
+
+
 def test_mix(docs, rows, none):
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     plan = mixing.mix(docs, block=16)
