@@ -15,14 +15,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logspark.llm.words import ALNUM, BASES, Words, distinct, mix, pieces, spans_hash
 from logspark.session import cut_lineage, scratch_path
 
-PER_CLASS = 10_000  # labelled rows of each class that the lexicon and the classifier are fitted on, at most
+PER_CLASS = 10_000  # labelled rows of each class that the classifier is fitted on, at most
+PART = 1 << 20  # labelled ids that are broadcast at once
 PREFIXES = (3, 4, 5, 6, 7, 8)  # bytes of the word beginnings that patterns look at
 MOST_VOTERS = 48
-MOST_FEATURES = 2_000
+MOST_FEATURES = 1 << 18  # entries that are broadcast, 2 MB of hashes
 STRENGTH = 15.0  # likelihood ratio statistic an entry must reach
 ODDS = 2.0  # and log odds ratio
 VOTER_ODDS = 3.5  # of entries that may vote
-CANDIDATES = 256  # strongest of them, of which those that repeat others are left out
+CANDIDATES = 256  # strongest of them, of which those that repeat others are left out; more while voters are wanting
+MOST_CANDIDATES = 2_048  # whose pairs are counted, 32 MB a task
 _BITS = 22
 
 
@@ -183,11 +185,12 @@ def score_toxicity(
     """One row per row of ``docs``: id, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 from 0.5 on).
 
     Labels are learnt only from rows that are not ``held_out`` and serve to find voters: words and word
-    beginnings far more frequent in toxic texts (of at most ``per_class`` rows of each class, taken by
-    a hash of their id). The strongest vote; a generative model of their accuracies and correlations is
-    fitted to the votes of all documents, labelled or not. A logistic regression over all entries is then
-    trained on its posteriors for the same sample, and scores every whole text. Only the sample's
-    ids (bounded by ``per_class``), the lexicon and sums per pair of voters are broadcast or collected.
+    beginnings far more frequent in toxic texts, counted over all such rows. The strongest vote; a
+    generative model of their accuracies and correlations is fitted to the votes of all documents, labelled
+    or not. A logistic regression over all entries (the ``MOST_FEATURES`` strongest, should there be more)
+    is then trained on its posteriors for at most ``per_class`` labelled rows of each class, taken by a hash of their
+    id, and scores every whole text. Those rows' ids, ``PART`` labels at a time, the lexicon and sums per pair of
+    voters are broadcast or collected.
 
     Null and empty texts have no entries and get the score of a text without any. Without labels of both
     classes, or without entries that tell them apart, all scores are 0. Several labels of one id count
@@ -202,9 +205,8 @@ def score_toxicity(
     order = F.xxhash64(F.lit(seed), "of")
     taken = [known.where(F.col("toxic") == y).orderBy(order, "of").limit(per_class) for y in (0, 1)]
     sample = cut_lineage(taken[0].unionByName(taken[1]))
-    counted = cut_lineage(rows.join(F.broadcast(sample), F.col("id") == F.col("of")).select("text", "toxic").mapInArrow(_count, "entry long, toxic long, clean long"))
-    t, c = (min(sizes.get(y, 0), per_class) for y in (1, 0))
-    lexicon = _lexicon(counted, t, c) if t and c else []
+    t, c = (sizes.get(y, 0) for y in (1, 0))
+    lexicon = _lexicon(_counts(rows, known, t + c), t, c) if t and c else []
     plain = rows.select("id", held_out(F.col("id")).alias("held_out"))
     if not lexicon:
         return plain.select(F.col("id").alias(id_col), "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
@@ -215,7 +217,11 @@ def score_toxicity(
     present = spark.read.parquet(path)
     odds_of = lambda r: np.log((r["toxic"] + 0.5) / (t + 1)) - np.log((r["clean"] + 0.5) / (c + 1))
     able = sum(1 for r in lexicon if odds_of(r) >= VOTER_ODDS)  # they come first
-    voters = choose_voters(present, min(able, CANDIDATES))
+    tried = min(able, CANDIDATES)
+    voters = choose_voters(present, tried)
+    while len(voters) < MOST_VOTERS and tried < min(able, MOST_CANDIDATES):
+        tried = min(able, 2 * tried, MOST_CANDIDATES)
+        voters = choose_voters(present, tried)
     if not voters:
         return plain.select(F.col("id").alias(id_col), "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     pick = lambda values, e: F.element_at(F.array(*[F.lit(values.get(i)) for i in range(max(voters) + 1)]), e + 1)
@@ -223,7 +229,7 @@ def score_toxicity(
     mask = F.aggregate(votes, F.lit(0).cast("long"), lambda m, e: m + pick({v: 1 << k for k, v in enumerate(voters)}, e).cast("long"))
     cast = present.select("id", "entries", mask.alias("mask"))
     masks = cut_lineage(cast.groupBy("mask").agg(F.count("*").alias("n")))
-    quiet = {r["toxic"]: r["share"] for r in cast.join(F.broadcast(sample), F.col("id") == F.col("of")).groupBy("toxic").agg(F.avg((F.col("mask") == 0).cast("double")).alias("share")).collect()}
+    quiet = {r["toxic"]: r["share"] for r in cast.select("id", "mask").join(known, F.col("id") == F.col("of")).groupBy("toxic").agg(F.avg((F.col("mask") == 0).cast("double")).alias("share")).collect()}
     hits, misses = (np.array([(lexicon[v][k] + 0.5) / (n + 1) for v in voters]) for k, n in (("toxic", t), ("clean", c)))
     start = LabelModel(hits, misses, np.array([quiet.get(1, 0.5), quiet.get(0, 0.5)]).clip(0.01, 0.99), sizes[1] / (sizes[0] + sizes[1]), np.ones(len(voters)))
     weight, voted, silent = fit_label_model(masks, start).weights()
@@ -242,6 +248,19 @@ def score_toxicity(
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+def _counts(rows: DataFrame, known: DataFrame, size: int) -> DataFrame:
+    """How many toxic and clean rows hold each entry, over all ``known`` ones: their ids are broadcast ``PART`` at a time, so no text is shuffled."""
+    parts = -(-size // PART)
+    path = scratch_path(rows.sparkSession, "counts")
+    for k in range(parts):
+        some = known.where(F.pmod(F.xxhash64("of"), F.lit(parts)) == k) if parts > 1 else known
+        counted = rows.join(F.broadcast(some), F.col("id") == F.col("of")).select("text", "toxic").mapInArrow(_count, "entry long, toxic long, clean long")
+        if parts == 1:
+            return counted
+        counted.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).write.mode("append").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def _lexicon(counted: DataFrame, t: int, c: int) -> list:
     """Entries that point to toxic texts, those that may vote and then the strongest first: by the likelihood ratio of their counts in t toxic and c clean texts."""
     total = counted.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))

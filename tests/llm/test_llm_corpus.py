@@ -118,6 +118,18 @@ def test_near_crowded_bucket(spark, monkeypatch):
     assert sorted(Counter(c for c, _ in want.values()).values()) == [1] * 20 + [7] * 10
 
 
+def test_toxic_words_rare_in_the_sample(spark, monkeypatch):
+    """Words too rare in the classifier's sample to pass the test there are entries all the same: all labelled rows count."""
+    monkeypatch.setattr(toxicity, "PART", 1000, raising=False)
+    rng = random.Random(6)
+    plain = lambda: " ".join(rng.choice("the a of to in we you it on at".split()) for _ in range(12))
+    rows = [(i, plain() + (" zorgly" if i < 60 else " vilest" if i < 1500 else ""), int(i < 1500)) for i in range(3000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels, per_class=150).collect()}
+    assert min(score[i] for i in range(60)) > max(score[i] for i in range(1500, 3000)) + 0.1
+
+
 def test_mix(docs, rows, none):
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     plan = mixing.mix(docs, block=16)
