@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logspark.llm import chat, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, secrets, sharding, substring, toxicity
+from logspark.llm import chat, decontaminate, divergence, exact_dedup, line_dedup, mixing, near_dedup, packing, secrets, sharding, substring, toxicity, vector_codes
 from logspark.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,6 +167,65 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("loss_spans", spans).drop("loss")
 
 
+@query("op11_source_divergence", rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all({LOWER_SQL}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+         groups AS (SELECT DISTINCT lang, source FROM d),
+         e AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+         kept AS (SELECT lang, term, count(*) AS n FROM e GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+         langs AS (SELECT lang, count(*) AS v, sum(n) + count(*) AS whole FROM kept GROUP BY lang),
+         c AS (SELECT lang, source, term, count(*) AS c FROM e JOIN kept USING (lang, term) GROUP BY lang, source, term),
+         sums AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source),
+         wholes AS (SELECT lang, source, coalesce(sums.n, 0) + v AS whole FROM groups JOIN langs USING (lang) LEFT JOIN sums USING (lang, source)),
+         p AS (SELECT lang, source, term, coalesce(c, 0) AS c, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 1) // CAST(whole AS HUGEINT) AS p
+               FROM wholes JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+         q AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (n + 1) // CAST(whole AS HUGEINT) AS q FROM kept JOIN langs USING (lang)),
+         sides AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+                   FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+         pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+                   FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sides s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+         terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    WHERE part = 'pair' OR rank <= 200""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op12_best_fit_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def _codes_sql(rounds: int = 2, parts: int = 16, entries: int = 64) -> str:
+    """Lloyd rounds spelled out, one after the other."""
+    gap = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i])))"
+    out = [f"""v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+                     FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)""",
+           f"""pieces AS (SELECT r, p, x[p * (len(x) // {parts}) + 1 : (p + 1) * (len(x) // {parts})] AS x FROM v, (SELECT unnest(range({parts})) AS p))""",
+           f"""b0 AS (SELECT p, r - 1 AS e, x AS y FROM pieces WHERE r <= {entries})"""]
+    for k in range(rounds + 1):
+        out.append(f"a{k} AS (SELECT r, p, min(struct_pack(d := {gap}, e := e)) AS m FROM pieces JOIN b{k} USING (p) GROUP BY r, p)")
+        if k < rounds:
+            out.append(f"""s{k} AS (SELECT p, e, i, sum(c) AS s, count(*) AS n FROM (SELECT p, a{k}.m.e AS e, unnest(range(len(x))) AS i, unnest(x) AS c FROM pieces JOIN a{k} USING (r, p)) GROUP BY p, e, i)""")
+            out.append(f"""n{k} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS y FROM s{k} GROUP BY p, e)""")
+            out.append(f"b{k + 1} AS (SELECT p, e, coalesce(n{k}.y, b{k}.y) AS y FROM b{k} LEFT JOIN n{k} USING (p, e))")
+    last = f"a{rounds}"
+    return f"""WITH {', '.join(out)},
+        coded AS (SELECT r, string_agg(printf('%02x', {last}.m.e), '' ORDER BY p) AS code, CAST(sum({last}.m.d) AS BIGINT) AS error FROM {last} GROUP BY r)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+        FROM coded JOIN v USING (r)"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return made.rows.withColumn("codebooks_sha256", F.lit(made.digest()))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
