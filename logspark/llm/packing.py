@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +25,27 @@ ROUNDS = 150  # prices of the linear program
 PER_ROUND = 24  # configurations taken from one knapsack table
 STEP = 0.25  # share of a length's pieces that one round may place
 RATE = 1.0  # how fast the price of a covered length falls
-MEMORY = 1 << 18  # distinct words a task remembers the ids of
+MEMORY = 1 << 19  # distinct words a worker remembers the ids of
 
 Config = tuple[tuple[int, int], ...]  # (length, how many), lengths descending
 
 
+_BYTE = np.arange(256)
+_LETTER = ((_BYTE >= 65) & (_BYTE <= 90)) | ((_BYTE >= 97) & (_BYTE <= 122))
+_DIGIT = (_BYTE >= 48) & (_BYTE <= 57)
+_ASCII = _BYTE < 128
+_PLAIN = (_BYTE > 32) & (_BYTE < 127)
+_TWO = (_BYTE >= 0xC3) & (_BYTE <= 0xDF)  # leads U+00C0 to U+07FF, where no white space is
+
+
 class Encoder:
-    """Token ids of texts; every distinct word of a task is encoded once.
+    """Token ids of texts; a word that was met before is looked up.
 
-    Byte-level pre-tokenizers always start a new piece at a space that follows a non-space and
-    precedes an ASCII letter, whatever stands around it. Texts are cut there and nowhere else, so the ids of the cuts, joined,
-    are those of the whole text.
+    Byte-level pre-tokenizers match runs of letters, of digits and of other signs, each with one space before it.
+    So a piece always ends after an ASCII letter before another ASCII sign, after an ASCII digit before
+    another, and before a single space between signs that are not white space. Texts are cut there and
+    nowhere else, so the ids of the cuts, joined, are those of the whole text. A text that holds one of the
+    vocabulary's special strings is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -41,6 +53,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -49,11 +62,30 @@ class Encoder:
 
     def _learn(self, words: pa.Array) -> None:
         made = [e.ids for e in self.model.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
-        ends = np.cumsum([len(m) for m in made], dtype=np.int64) + self.first[-1]
+        ends = np.cumsum(np.fromiter(map(len, made), np.int64, len(made))) + self.first[-1]
         self.first = np.concatenate((self.first, ends))
-        self.ids = np.concatenate([self.ids, *(np.array(m, dtype=np.uint32) for m in made)])
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(made), np.uint32)))
         self.known = pa.concat_arrays([self.known, words])
 
+    def _cuts(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Where words start, the starts of rows and the end of the data included."""
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        if len(data) > 2:
+            letter, digit, plain = _LETTER[data], _DIGIT[data], _PLAIN[data]
+            plain_end = plain.copy()
+            plain_end[1:] |= _TWO[data[:-1]]
+            cut[1:-1] = (letter[:-1] & ~letter[1:] | digit[:-1] & ~digit[1:]) & _ASCII[data[1:]]
+            cut[1:-2] |= (data[1:-1] == 32) & plain_end[:-2] & (plain | _TWO[data])[2:]
+            body = data.tobytes()
+            for sign in self.special:
+                at = body.find(sign)
+                while at >= 0:
+                    row = np.searchsorted(rows, at, side="right") - 1
+                    cut[rows[row] : rows[row + 1]] = False
+                    at = body.find(sign, int(rows[row + 1]))
+        cut[rows] = True
+        return np.flatnonzero(cut)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``first, ids``: the ids of row i are ``ids[first[i]:first[i + 1]]``; null has none."""
         column = pc.fill_null(column, "").cast(pa.large_string())
@@ -61,14 +93,7 @@ class Encoder:
         body = column.buffers()[2]
         data = np.frombuffer(body, dtype=np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.zeros(0, np.uint8)
         rows = offsets - offsets[0]
-        letter = ((data | 32) >= 97) & ((data | 32) <= 122)
-        cut = np.zeros(len(data) + 1, dtype=bool)
-        if len(data) > 2:
-            # before it a printable ASCII character, so that no class of a non-ASCII space matters
-            plain = (data > 32) & (data < 127)
-            cut[1:-2] = (data[1:-1] == 32) & plain[:-2] & letter[2:]
-        cut[rows] = True
-        starts = np.flatnonzero(cut)
+        starts = self._cuts(data, rows)
         words = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data.tobytes()))
         coded = words.dictionary_encode()
         if max(len(self.known) + len(coded.dictionary), len(self.ids) >> 4) > MEMORY:
@@ -84,9 +109,15 @@ class Encoder:
         return ends[np.searchsorted(starts, rows)], ids
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """The encoder of this worker process: later tasks know the words of earlier ones."""
+    return Encoder(path)
+
+
 def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path), TaskContext.get().partitionId()
+        encoder, part = _encoder(path), TaskContext.get().partitionId()
         placed = np.zeros(capacity + 1, dtype=np.int64)  # pieces of each length so far in this task
         for batch in pieces(batches, "text", 1 << 22):
             first, ids = encoder.encode(batch.column("text"))

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -74,10 +75,15 @@ def vocabulary():
     return str(public.path("byte_bpe_50k.json"))
 
 
-def ids_of(vocabulary, text):
+@lru_cache
+def _model(vocabulary):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(vocabulary).encode(text or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(vocabulary)
+
+
+def ids_of(vocabulary, text):
+    return _model(vocabulary).encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def test_pack(spark, docs, rows, none, vocabulary):
@@ -117,7 +123,7 @@ def test_words_encoded_apart_have_the_ids_of_the_whole(vocabulary):
 
     texts = ["It's  a\tfew words, don't-they? x 1 2a  b\n\n c", " lead", "trail ", "é à la carte 日本 語 text", "<|endoftext|> a <|endoftext|>b", "", None, "a" * 3000, "tab\t x   y  z", "🙂 smile 🙂x y", "q  'll 'll x 'll"]
     rng = random.Random(1)
-    texts += ["".join(rng.choice("ab '1é\n\t.  ") for _ in range(200)) for _ in range(60)]
+    texts += ["".join(rng.choice("ab '1é\n\t.  ") for _ in range(200)) for _ in range(120)]
     encoder = packing.Encoder(vocabulary)
     for batch in (texts, texts[::-1]):  # new words, then known ones
         first, ids = encoder.encode(pa.array(batch, pa.string()))
