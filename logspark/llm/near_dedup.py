@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from logspark.llm.words import ALNUM, BASES, Words, mix, pieces, spans_hash
+from logspark.llm.tables import exact, free, settled
+from logspark.llm.words import ALNUM, BASES, Words, mix, pieces, spans_hash, word_bytes
 from logspark.session import cut_lineage, scratch_path
 
 SHINGLE = 5
@@ -19,9 +20,8 @@ TABLES = 12
 MINIMA = 3
 LEAST = 0.8
 LEADERS = 3  # turns of leaders; how much is left to the exact way, not what is found
-SLOTS = 20  # log2 of the counters that tell rare shingles from common ones
-PIECE = 14  # log2 of those summed as one piece
-BLOCK = 256  # texts of one shingle that are joined with each other in one piece
+PARITY = 4096  # most bits of a text's parity sketch; a longer text only has a weaker bound
+BLOCK = 2048  # texts of one bucket on each side of one comparison
 
 
 class Shingles:
@@ -80,11 +80,34 @@ class Shingles:
 
 
 def _nodes(words: Words, column: pa.Array) -> list[bytes]:
-    """128-bit name of every row's word sequence; of the text itself where it has no words."""
-    a, b = (mix(spans_hash(words.hashes(w), words.first[:-1], words.first[1:], BASES[1 - w])) for w in (0, 1))
-    names = np.stack([a, b], axis=1)
-    bare = {i: hashlib.blake2b((column[i].as_py() or "").encode(), digest_size=16).digest() for i in np.flatnonzero(words.counts == 0)}
-    return [bare.get(i) or names[i].tobytes() for i in range(len(names))]
+    """128-bit BLAKE2 name of every row's word sequence; of the text itself where it has no words."""
+    length = words.ends - words.starts
+    ends = np.concatenate(([0], np.cumsum(length)))[words.first]
+    body, sizes = memoryview(word_bytes(words)), memoryview(length.astype(np.uint32)).cast("B")
+    out = []
+    for i, n in enumerate(words.counts.tolist()):
+        name = hashlib.blake2b(digest_size=16)
+        if n:  # letters and the lengths of the words: no two sequences are alike in both
+            name.update(sizes[4 * words.first[i] : 4 * words.first[i + 1]])
+            name.update(body[ends[i] : ends[i + 1]])
+        else:
+            name.update((column[i].as_py() or "").encode())
+        out.append(name.digest())
+    return out
+
+
+def _parity(shingles: Shingles) -> list[bytes]:
+    """A bit set per row: whether an odd number of its labels fall into each of as many places as it has labels, about.
+
+    Two sets of labels differ in at least as many labels as their bits differ. A set of twice the bits folds
+    onto the narrower one, half upon half.
+    """
+    n = np.diff(shingles.first)
+    bits = np.clip(2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 64, PARITY)
+    first = np.concatenate(([0], np.cumsum(bits)))
+    place = (shingles.label >> np.uint64(52)).astype(np.int64) & (bits - 1)[shingles.row]
+    odd = np.packbits(np.bincount(first[shingles.row] + place, minlength=first[-1]).astype(np.uint8) & 1, bitorder="little")
+    return [odd[a // 8 : b // 8].tobytes() for a, b in zip(first, first[1:])]
 
 
 def _sketches(tables: int, minima: int, size: int):
@@ -95,7 +118,8 @@ def _sketches(tables: int, minima: int, size: int):
             keys = pa.ListArray.from_arrays(
                 pa.array(np.arange(batch.num_rows + 1) * tables, pa.int32()), pa.array(shingles.sketch(tables, minima).ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(_nodes(words, batch.column("text")), pa.binary()), pa.array(np.diff(shingles.first), pa.int64()), keys], ["id", "node", "n", "keys"])
+                [batch.column("id"), pa.array(_nodes(words, batch.column("text")), pa.binary()), pa.array(np.diff(shingles.first), pa.int64()), keys, pa.array(_parity(shingles), pa.binary())],
+                ["id", "node", "n", "keys", "parity"])
 
     return run
 
@@ -136,13 +160,6 @@ def _align(size: int, least: float):
     return run
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again, which leaves no plan or constraints of earlier turns behind."""
-    path = scratch_path(df.sparkSession, "turn")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _components(links: DataFrame) -> DataFrame:
     """``a, b`` -> ``node, label``: least labels spread along links and through the labels themselves until none changes."""
     both = settled(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
@@ -172,79 +189,91 @@ def _texts(rows: DataFrame, asked: DataFrame) -> DataFrame:
     return held.mapInArrow(same, "node binary, text string")
 
 
-def _tally(size: int):
-    """How often labels fall into each of ``1 << SLOTS`` slots, per task: pieces of counts."""
+def _folded(data: list[bytes], bits: int) -> np.ndarray:
+    """Bit sets of at least ``bits`` as rows of 64-bit numbers, wider ones folded to that width."""
+    out = np.empty((len(data), bits // 64), dtype=np.uint64)
+    for i, x in enumerate(data):
+        row = np.frombuffer(x, dtype=np.uint64)
+        while len(row) > bits // 64:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out[i] = row
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOTS, dtype=np.int64)
-        for batch in pieces(batches, "text"):
-            label = Shingles(Words(batch.column("text"), ALNUM, lower=True), size).label
-            total += np.bincount((label >> np.uint64(64 - SLOTS)).astype(np.int64), minlength=1 << SLOTS)
-        parts = [x.tobytes() for x in total.reshape(-1, 1 << PIECE)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["piece", "counts"])
 
-    return run
+def _possible(rows: dict[str, list], same: bool, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, the others that can be similar to row i, in how many bits they differ), every pair once; exact as a filter.
 
-
-def _sum_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, counts in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist()):
-            sums[k] = sums.get(k, 0) + np.frombuffer(counts, dtype=np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "counts"])
-
-
-def _rare(often: np.ndarray, size: int, least: float):
-    """The rarest labels of every text, as many as any similar text must share one of, with their rank and place.
-
-    Ranks follow one order of all labels: of their slot's count, then of the label. A slot of count one
-    holds a label of no other text.
+    Pairs of unlike labels whose lengths allow ``least`` and whose parity sketches differ in no more bits than
+    two texts with that many shingles in common may differ in shingles.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            shingles = Shingles(Words(batch.column("text"), ALNUM, lower=True), size)
-            common = often[(shingles.label >> np.uint64(64 - SLOTS)).astype(np.int64)]
-            order = np.lexsort((shingles.label, common, shingles.row))
-            row = shingles.row[order]
-            n = np.diff(shingles.first)[row]
-            rank = np.arange(len(order)) - shingles.first[row]
-            kept = (rank <= n - np.ceil(least * n - 1e-9)) & (common[order] > 1)
-            order, row, n, rank = order[kept], row[kept], n[kept], rank[kept]
-            held = batch.take(pa.array(row, pa.int64()))
-            place = order - shingles.first[row]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shingles.label[order].view(np.int64)), held.column("node"), held.column("label"), *(pa.array(x.astype(np.int64)) for x in (n, rank, place))],
-                ["gram", "node", "label", "n", "rank", "place"])
-
-    return run
-
-
-def _similar(texts: DataFrame, size: int, least: float) -> DataFrame:
-    """``a, b``: every pair of ``node, label, text`` of unlike labels that can be ``least`` similar; no such pair is missed.
-
-    Of the shingles that an alignment matches, the rarest is among the rare ones of both texts: its rank and
-    its place leave room for the others before and after it. Shingles of many texts are joined block by block.
+    n = np.array(rows["n"])
+    _, label = np.unique(np.array([x.hex() for x in rows["label"]]), return_inverse=True)
+    block = np.array(rows["block"])
+    by_bits: dict[int, np.ndarray] = {}
+    size = np.array([8 * len(x) for x in rows["parity"]])
+    for i in range(len(n)):
+        other = np.arange(i + 1, len(n)) if same else np.flatnonzero(block[i + 1 :] != block[i]) + i + 1
+        other = other[(label[other] != label[i]) & (np.minimum(n[other], n[i]) >= least * np.maximum(n[other], n[i]))]
+        if not len(other):
+            continue
+        found, gaps = [], []
+        for bits in np.unique(np.minimum(size[other], size[i])):
+            mine = other[np.minimum(size[other], size[i]) == bits]
+            if bits not in by_bits:  # rows below this width never take part
+                wide = np.flatnonzero(size >= bits)
+                held = np.zeros((len(n), bits // 64), dtype=np.uint64)
+                held[wide] = _folded([rows["parity"][k] for k in wide], int(bits))
+                by_bits[bits] = held
+            gap = np.bitwise_count(by_bits[bits][mine] ^ by_bits[bits][i]).sum(axis=1, dtype=np.int64)
+            need = np.ceil((n[mine] + n[i]) * (least / (1 + least)) - 1e-9)
+            ok = gap <= n[mine] + n[i] - 2 * need
+            found.append(mine[ok])
+            gaps.append(gap[ok])
+        yield i, np.concatenate(found), np.concatenate(gaps)
+
+
+def _bucket_pairs(members: DataFrame, least: float) -> DataFrame:
+    """``a, b, gap``: every pair of ``bucket, node, label, n, parity`` in one bucket, of unlike labels, that can be ``least`` similar.
+
+    Buckets are compared in blocks of ``BLOCK`` texts; what leaves a task are pairs that pass the bounds of
+    ``_possible``, before any text is moved.
     """
-    sums = texts.mapInArrow(_tally(size), "piece int, counts binary").repartition("piece").mapInArrow(_sum_pieces, "piece int, counts binary")
-    often = np.zeros((1 << SLOTS - PIECE, 1 << PIECE), dtype=np.int64)
-    for r in sums.collect():
-        often[r["piece"]] = np.frombuffer(r["counts"], dtype=np.int64)
-    often = np.minimum(often.ravel(), 2**31 - 1).astype(np.int32)
-    schema = "gram long, node binary, label binary, n long, rank long, place long"
-    grams = settled(texts.mapInArrow(_rare(often, size, least), schema))
-    shared = grams.groupBy("gram").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-    shared = shared.select(F.col("gram").alias("of"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    grams = grams.join(shared, F.col("gram") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    grams = settled(grams.drop("of"))
-    side = lambda name, i, j: grams.select("gram", F.expr(i).alias("i"), F.expr(j).alias("j"), *[F.col(c).alias(f"{name}_{c}") for c in ("node", "label", "n", "rank", "place")])
-    pairs = side("a", "block", "explode(sequence(block, blocks - 1))").join(side("b", "explode(sequence(0, block))", "block"), ["gram", "i", "j"])
-    need = F.ceil((F.col("a_n") + F.col("b_n")) * (least / (1 + least)) - 1e-9)
-    before = F.least("a_place", "b_place")
-    after = lambda c: F.least(F.col("a_n") - F.col(f"a_{c}"), F.col("b_n") - F.col(f"b_{c}"))
-    pairs = pairs.where((F.col("a_label") != F.col("b_label")) & ((F.col("i") < F.col("j")) | (F.col("a_node") < F.col("b_node"))))
-    pairs = pairs.where((after("rank") >= need) & (before + after("place") >= need))
-    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    sizes = settled(members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    dealt = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "n", "parity")
+    names = ["block", "node", "label", "n", "parity"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(key, rows):
+            a, b, gap = [], [], []
+            for i, others, gaps in _possible(rows, key[1] == key[2], least) if len(rows["n"]) > 1 else ():
+                for j, g in zip(others.tolist(), gaps.tolist()):
+                    x, y = sorted((rows["node"][i], rows["node"][j]))
+                    a.append(x)
+                    b.append(y)
+                    gap.append(g)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(gap, pa.int64())], ["a", "b", "gap"])
+
+        held_key, held = None, {n: [] for n in names}
+        for batch in batches:
+            columns = {n: batch.column(n).to_pylist() for n in names}
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "low", "high")], axis=1)
+            cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
+            for start, end in zip(cuts, cuts[1:]):
+                key = tuple(keys[start].tolist())
+                if key != held_key and held_key is not None:
+                    yield pairs(held_key, held)
+                    held = {n: [] for n in names}
+                held_key = key
+                for n in names:
+                    held[n] += columns[n][start:end]
+        if held_key is not None:
+            yield pairs(held_key, held)
+
+    keys = ["bucket", "low", "high"]
+    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a binary, b binary, gap long")
+    return found.groupBy("a", "b").agg(F.min("gap").alias("gap"))
 
 
 def near_links(sketched: DataFrame, texts: DataFrame, size: int, least: float) -> tuple[DataFrame, DataFrame] | None:
@@ -253,10 +282,9 @@ def near_links(sketched: DataFrame, texts: DataFrame, size: int, least: float) -
     In each bucket all members are aligned with one leader, which is linear in the bucket. For
     ``LEADERS`` turns a bucket that is not one group by its last leader takes another of its members, linked or
     not, as the next leader for those that have not led; the order of leaders is another one in every table. Buckets
-    whose members are then still of several groups are decided exactly: all pairs of their texts that
-    can be similar are found by their rare shingles (``_similar``) and aligned, so every pair of a bucket is either
-    aligned, ruled out by its shingles, or in one group. Texts that share a common passage have few rare
-    shingles alike and are not listed by pairs.
+    whose members are then still of several groups are decided exactly: of all their pairs, those that the
+    parity sketches of their shingles do not rule out are aligned (``_bucket_pairs``), the nearest pair of every text first,
+    so every pair of a bucket is either aligned, ruled out by a bound, or in one group by then.
     """
     alike = settled(sketched.select("node", "n", F.posexplode("keys").alias("t", "bucket")).withColumn("linked", F.lit(False)).withColumn("hit", F.lit(False)))
     seen = links = None
@@ -289,16 +317,20 @@ def near_links(sketched: DataFrame, texts: DataFrame, size: int, least: float) -
         return None
     labels = _components(links)
     still = alike.join(alike.groupBy("bucket").agg(F.count("*").alias("m"), F.bool_and("hit").alias("one")).where("m > 1 AND NOT one").select("bucket"), "bucket")
-    named = settled(still.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-    unsure = settled(named.join(mixed, "bucket", "left_semi").select("node", "label").distinct())
-    if unsure.isEmpty():
-        return links, labels
-    pairs = _similar(settled(texts.join(unsure, "node").select("node", "label", "text")), size, least)
-    more = decided(pairs.join(seen, ["a", "b"], "left_anti")).where(F.col("similarity") >= least)
-    if more.isEmpty():
+    named = still.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    pairs = settled(_bucket_pairs(named.join(sketched.select("node", "n", "parity"), "node"), least).join(seen, ["a", "b"], "left_anti"))
+    if pairs.isEmpty():
         return links, labels
+    nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b"))
+    more = decided(nearest).where(F.col("similarity") >= least)
     links = links.unionByName(more)
+    labels = _components(links)
+    ends = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    rest = pairs.join(nearest, ["a", "b"], "left_anti").join(ends("a"), "a", "left").join(ends("b"), "b", "left")
+    rest = settled(rest.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b"))
+    if rest.isEmpty():
+        return links, labels
+    links = links.unionByName(decided(rest).where(F.col("similarity") >= least))
     return links, _components(links)
 
 
@@ -318,16 +350,16 @@ def near_classes(
     Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(exact(id_col).alias("id"), F.coalesce(exact(text_col), F.lit("")).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     path = scratch_path(spark, "sketches")
-    rows.mapInArrow(_sketches(tables, minima, size), f"id {id_type}, node binary, n long, keys array<long>").write.parquet(path)
+    rows.mapInArrow(_sketches(tables, minima, size), f"id {id_type}, node binary, n long, keys array<long>, parity binary").write.parquet(path)
     every = spark.read.parquet(path)
     nodes = cut_lineage(every.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     first = nodes.select(F.col("node").alias("held"), F.col("rep").alias("holder"))
     sketched = every.where("n > 0").join(first, (F.col("node") == F.col("held")) & F.col("id").eqNullSafe(F.col("holder")))
     path = scratch_path(spark, "nodes")
-    sketched.select("node", "id", "n", "keys").write.parquet(path)
+    sketched.select("node", "id", "n", "keys", "parity").write.parquet(path)
     sketched = spark.read.parquet(path)
     shared = sketched.select(F.explode("keys").alias("bucket"), "node").groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y")
     shared = cut_lineage(shared.select("bucket"))
@@ -335,7 +367,7 @@ def near_classes(
     path = scratch_path(spark, "candidates")
     _texts(rows, cut_lineage(asked)).write.parquet(path)
     texts = spark.read.parquet(path)
-    members = sketched.join(cut_lineage(texts.select("node").distinct()), "node", "left_semi").select("node", "n", "keys").dropDuplicates(["node"])
+    members = sketched.join(cut_lineage(texts.select("node").distinct()), "node", "left_semi").select("node", "n", "keys", "parity").dropDuplicates(["node"])
     linked = near_links(cut_lineage(members), texts, size, least)
     classes = nodes.select("node", "rep", "copies")
     if linked is not None:
@@ -355,7 +387,8 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     Of rows that repeat that id with the same text one stays; an id repeated with other texts stays if any of its
     texts leads a class.
     """
-    kept = near_classes(docs, id_col, text_col, **named).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept"))).drop("_kept")
-    again = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
-    return rows.withColumn("_nth", F.row_number().over(again)).where("_nth = 1").drop("_nth")
+    mark, nth = free(docs.columns, "kept", "nth")
+    kept = near_classes(docs, id_col, text_col, **named).where("kept").select(exact(id_col).alias(mark)).distinct()
+    rows = docs.join(kept, exact(id_col).eqNullSafe(F.col(mark))).drop(mark)
+    again = Window.partitionBy(exact(id_col), F.xxhash64(exact(text_col))).orderBy(F.lit(0))
+    return rows.withColumn(nth, F.row_number().over(again)).where(F.col(nth) == 1).drop(nth)

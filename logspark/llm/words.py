@@ -110,15 +110,18 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
             yield batch.slice(a, b - a)
 
 
-def word_array(words: Words) -> pa.Array:
-    """All words of a batch, in order, as strings."""
-    length = words.ends - words.starts
-    offsets = np.concatenate(([0], np.cumsum(length)))
+def word_bytes(words: Words) -> np.ndarray:
+    """The bytes of all words of a batch, one after the other."""
     inside = np.zeros(len(words.data) + 1, dtype=np.int8)
     inside[words.starts] += 1
     inside[words.ends] -= 1
-    body = words.data[np.cumsum(inside)[:-1] > 0]
-    return pa.LargeStringArray.from_buffers(len(length), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(body.tobytes()))
+    return words.data[np.cumsum(inside)[:-1] > 0]
+
+
+def word_array(words: Words) -> pa.Array:
+    """All words of a batch, in order, as strings."""
+    offsets = np.concatenate(([0], np.cumsum(words.ends - words.starts)))
+    return pa.LargeStringArray.from_buffers(len(words.starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(word_bytes(words).tobytes()))
 
 
 def distinct(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -118,6 +118,31 @@ def test_near_crowded_bucket(spark, monkeypatch):
     assert sorted(Counter(c for c, _ in want.values()).values()) == [1] * 20 + [7] * 10
 
 
+def test_near_names_and_bounds():
+    """Sequences that polynomial hashes modulo 2^64 confuse have names of their own; parity sketches never rule out a link."""
+    from logspark.llm.words import ALNUM, Words
+
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    texts = [" ".join("ab"[b] for b in bits), " ".join("ba"[b] for b in bits), "ab c", "a bc", "abc", "A-b C", "...", "", "..."]
+    column = pa.array(texts, pa.large_string())
+    names = near_dedup._nodes(Words(column, ALNUM, lower=True), column)
+    assert len(set(names)) == 8 and names[6] == names[8] and all(len(x) == 16 for x in names)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(900)}" for _ in range(260)]
+    family = []
+    for i in range(60):
+        text = list(base[: rng.randrange(150, 260)])
+        for _ in range(rng.randrange(9)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(900)}"
+        family.append(" ".join(text))
+    shingles = near_dedup.Shingles(Words(pa.array(family, pa.large_string()), ALNUM, lower=True), 5)
+    rows = {"n": np.diff(shingles.first).tolist(), "label": [bytes([i]) for i in range(60)], "block": [0] * 60, "parity": near_dedup._parity(shingles)}
+    possible = {(i, j) for i, others, _ in near_dedup._possible(rows, True, 0.8) for j in others.tolist()}
+    part = lambda i: shingles.label[shingles.first[i] : shingles.first[i + 1]]
+    links = {(i, j) for i in range(60) for j in range(i + 1, 60) if near_dedup.aligned(part(i), part(j), 0.8) >= 0.8}
+    assert links <= possible and 5 < len(links) and len(possible) < 60 * 59 / 4
+
+
 def test_toxic_words_rare_in_the_sample(spark, monkeypatch):
     """Words too rare in the classifier's sample to pass the test there are entries all the same: all labelled rows count."""
     monkeypatch.setattr(toxicity, "PART", 1000, raising=False)
