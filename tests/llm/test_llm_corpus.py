@@ -178,6 +178,29 @@ def test_mix(docs, rows, none):
     assert sum(plan.quotas.values()) * 16 == pytest.approx(total, abs=16 * 8)
 
 
+def test_mix_many_small_sources_and_repeated_rows(spark):
+    """Every source comes within a block of its target, runs fill their shards' quotas, and repeated rows keep to the plan."""
+    say = lambda n, tag: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(i, say(50, "a"), "big", "k", 1) for i in range(100)] + [(1000 + i, say(5, "b"), f"s{i:03}", "k", 1) for i in range(200)] + [(3, say(50, "a"), "big", "k", 1)] * 7
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, `_run` string, `a.b` int").repartition(3)
+    plan = mixing.mix(frame, shards=4)
+    got = plan.docs.collect()
+    per = defaultdict(lambda: [0.0, 0])
+    for r in got:
+        per[r.source][0] = r.target
+        per[r.source][1] += r.taken
+    assert len(per) == 201 and all(abs(t - n) <= 3 * plan.block and n > 0 for t, n in per.values())
+    filled = Counter()
+    for r in got:
+        for x in r.runs:
+            filled[x["shard"], r.source] += x["end"] - x["first"]
+    for s in range(4):  # a run stands with its first block
+        assert abs(filled[s, "big"] - plan.quotas[s, "big"] * plan.block) <= 2 * 50
+    mixed = mixing.mixed_documents(frame, plan).collect()
+    assert sum(len(r.text.split()) for r in mixed) == sum(r.taken for r in got)
+    assert {r["_run"] for r in mixed} == {"k"} and {r["a.b"] for r in mixed} == {1}
+
+
 def test_targets_and_sainte_lague():
     assert mixing.targets(np.array([100, 100, 100]), np.array([5.0, 2.0, 1.0])).tolist() == pytest.approx([187.5, 75.0, 37.5])
     capped = mixing.targets(np.array([10, 100, 400, 0]), np.array([5.0, 2.0, 1.0, 5.0]))
@@ -192,6 +215,7 @@ def test_targets_and_sainte_lague():
         assert mixing.sainte_lague(t, seats).sum() == (seats if t.sum() else 0)
         if len(set(t)) == 7:
             assert np.abs(mixing.sainte_lague(t, seats) - brute).sum() <= 2  # quotients may tie
+    assert mixing.sainte_lague(np.full(5, 3.0), 12).tolist() == [3, 3, 2, 2, 2]
 
 
 def test_shard(spark, docs, rows, none, tmp_path):
