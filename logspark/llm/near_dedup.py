@@ -21,7 +21,7 @@ MINIMA = 3
 LEAST = 0.8
 LEADERS = 3  # turns of leaders; how much is left to the exact way, not what is found
 PARITY = 4096  # most bits of a text's parity sketch; a longer text only has a weaker bound
-BLOCK = 2048  # texts of one bucket on each side of one comparison
+BLOCK = 512  # texts of one bucket on each side of one comparison
 
 
 class Shingles:
@@ -160,18 +160,36 @@ def _align(size: int, least: float):
     return run
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """``a, b`` -> ``node, label``: least labels spread along links and through the labels themselves until none changes."""
-    both = settled(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = settled(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
+def _components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame | None:
+    """``a, b`` -> ``node, label``, one label per component; with ``labels`` the links are added to those components.
+
+    Every round points each node at its least neighbour, follows the pointers three steps on, and goes on with
+    the links between the nodes they lead to. Names are digests, so chains of pointers are short and links fall off quickly.
+    """
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def renamed(names: DataFrame) -> DataFrame:
+        ends = lambda c: names.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        both = edges.join(ends("a"), "a", "left").join(ends("b"), "b", "left").select(F.coalesce("a_label", "a").alias("x"), F.coalesce("b_label", "b").alias("y"))
+        return both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    if labels is not None:
+        edges = renamed(labels)
     while True:
-        told = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("heard"))
-        spread = labels.join(told, labels["node"] == told["a"]).select("node", "label", F.least("label", "heard").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("next"))
-        after = settled(spread.join(jump, "new").select("node", "label", F.least("new", "next").alias("new")))
-        if after.where("label <> new").isEmpty():
+        edges = settled(edges)
+        if edges.isEmpty():
             return labels
-        labels = after.select("node", F.col("new").alias("label"))
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = settled(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))
+        for _ in range(2):
+            to = settled(to.withColumnRenamed("label", "via").join(to.select(F.col("node").alias("via"), "label"), "via").select("node", "label"))
+        if labels is None:
+            labels = to
+        else:
+            fresh = to.join(labels.select("node"), "node", "left_anti")
+            moved = labels.join(to.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+            labels = settled(moved.unionByName(fresh))
+        edges = renamed(to)
 
 
 def _texts(rows: DataFrame, asked: DataFrame) -> DataFrame:
@@ -316,6 +334,8 @@ def near_links(sketched: DataFrame, texts: DataFrame, size: int, least: float) -
     if links is None:
         return None
     labels = _components(links)
+    if labels is None:  # pairs, but no links: every text stands alone so far
+        labels = sketched.limit(0).select("node", F.col("node").alias("label"))
     still = alike.join(alike.groupBy("bucket").agg(F.count("*").alias("m"), F.bool_and("hit").alias("one")).where("m > 1 AND NOT one").select("bucket"), "bucket")
     named = still.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     pairs = settled(_bucket_pairs(named.join(sketched.select("node", "n", "parity"), "node"), least).join(seen, ["a", "b"], "left_anti"))
@@ -324,14 +344,14 @@ def near_links(sketched: DataFrame, texts: DataFrame, size: int, least: float) -
     nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b"))
     more = decided(nearest).where(F.col("similarity") >= least)
     links = links.unionByName(more)
-    labels = _components(links)
+    labels = _components(more, labels)
     ends = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
     rest = pairs.join(nearest, ["a", "b"], "left_anti").join(ends("a"), "a", "left").join(ends("b"), "b", "left")
     rest = settled(rest.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b"))
     if rest.isEmpty():
         return links, labels
-    links = links.unionByName(decided(rest).where(F.col("similarity") >= least))
-    return links, _components(links)
+    more = decided(rest).where(F.col("similarity") >= least)
+    return links.unionByName(more), _components(more, labels)
 
 
 def near_classes(

@@ -118,6 +118,35 @@ def test_near_crowded_bucket(spark, monkeypatch):
     assert sorted(Counter(c for c, _ in want.values()).values()) == [1] * 20 + [7] * 10
 
 
+def test_components_by_contraction(spark):
+    rng = random.Random(12)
+    name = lambda i: hashlib.md5(str(i).encode()).digest()
+    edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(45)] + [(200, 201), (201, 200)]
+    later = [(5, 120), (201, 300), (300, 301), (400, 401)]
+    frame = lambda e: spark.createDataFrame([(name(a), name(b)) for a, b in e], "a binary, b binary")
+
+    def groups(rows):
+        out = defaultdict(set)
+        for r in rows:
+            out[bytes(r.label)].add(bytes(r.node))
+        return {frozenset(v) for v in out.values()}
+
+    def brute(edges):
+        up = {}
+        root = lambda x: x if up.setdefault(x, x) == x else root(up[x])
+        for a, b in edges:
+            up[root(a)] = root(b)
+        out = defaultdict(set)
+        for x in {x for e in edges for x in e}:
+            out[root(x)].add(name(x))
+        return {frozenset(v) for v in out.values() if len(v) > 1}
+
+    first = near_dedup._components(frame(edges))
+    assert groups(first.collect()) == brute(edges)
+    assert groups(near_dedup._components(frame(later), first).collect()) == brute(edges + later)
+    assert near_dedup._components(frame([])) is None
+
+
 def test_near_names_and_bounds():
     """Sequences that polynomial hashes modulo 2^64 confuse have names of their own; parity sketches never rule out a link."""
     from logspark.llm.words import ALNUM, Words
