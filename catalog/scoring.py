@@ -61,9 +61,10 @@ def _(spark, sf):
 _HEALTH = "(SELECT avg((CAST(substr(priority, 2) AS INTEGER) / 3 + 1 - anomaly_score) / 2) FROM snap WHERE run = '{}')"
 
 
-@entry("J03_health_score", f"SELECT round({_HEALTH.format('a')}, 6) AS health")
+@entry("J03_health_score", f"SELECT 'a' AS run, round({_HEALTH.format('a')}, 6) AS health UNION ALL SELECT 'b', round({_HEALTH.format('b')}, 6)")
 def _(spark, sf):
-    return R.health_score(snapshots(spark, sf)[0]).select(F.round("health", 6).alias("health"))
+    a, b = (R.health_score(s).select(F.lit(run).alias("run"), F.round("health", 6).alias("health")) for run, s in zip("ab", snapshots(spark, sf)))
+    return a.unionByName(b)
 
 
 @entry("J04_drift_report", f"""

@@ -188,6 +188,8 @@ def extract_metrics(logs: DataFrame, rules: Sequence[dict], mode: str = "strict"
     """Per rule and window: the rule's aggregate over all matching rows between the bounds (pushed to the scan)."""
     logs = time_between(logs, since_ms, to_ms)
     kinds = sorted({r.get("aggregation", "count") for r in rules if r.get("enabled", True)})
+    if not kinds:
+        return metric_matches(logs, rules, mode)  # an empty table
     grouped = metric_matches(logs, rules, mode).groupBy("rule_id", "bucket_ms").agg(
         *[metric_value(k).alias(k) for k in kinds]
     )

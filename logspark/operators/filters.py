@@ -147,11 +147,14 @@ def incident_search(df: DataFrame, domain: str | None = None, status: str | None
     return df
 
 
+FIRST_MS = -62_135_596_800_000  # the first instant a timestamp can hold: no row is older
+
+
 def resolve_window_ms(start: str | None, now_ms: int) -> int | None:
     """``15m`` / ``4h`` / ``7d`` / ``2w`` or ISO text -> lower bound in epoch ms; anything else -> None."""
     raw = (start or "").strip().lstrip("-")
     if re.fullmatch(r"\d+[mhdwMHDW]", raw):
-        return now_ms - int(raw[:-1]) * WINDOW_UNITS[raw[-1].lower()] * 1000
+        return max(now_ms - int(raw[:-1]) * WINDOW_UNITS[raw[-1].lower()] * 1000, FIRST_MS)
     try:
         stamp = datetime.fromisoformat(raw.replace("Z", "+00:00"))
     except ValueError:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -65,7 +66,7 @@ def prune_table(spark: SparkSession, path: str, keep_from_ms: int, time: str = "
     """Remove rows before ``keep_from_ms`` from a stored table, of one tenant or of all; returns the partitions changed.
 
     Whole expired (tenant, date) partitions are deleted without reading a row. Only the boundary day is
-    rewritten: what stays of it goes to the shared folder first, so that a lost job leaves the table whole.
+    rewritten: what stays of it goes to the shared folder first and then replaces the day. Rows without a time stay.
     """
     edge = keep_from_ms - keep_from_ms % DAY_MS
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -73,9 +74,11 @@ def prune_table(spark: SparkSession, path: str, keep_from_ms: int, time: str = "
     names = lambda folder, prefix: [x.getPath() for x in fs.listStatus(folder) if x.isDirectory() and x.getPath().getName().startswith(prefix)]
     changed = 0
     for home in names(root, "tenant_id="):
-        if tenant is not None and home.getName() != f"tenant_id={tenant}":
+        if tenant is not None and unquote(home.getName()[10:]) != tenant:  # special characters of a name are escaped on disk
             continue
         for day in names(home, "date="):
+            if day.getName() == "date=__HIVE_DEFAULT_PARTITION__":  # rows without a time never expire
+                continue
             start = int(datetime.fromisoformat(day.getName()[5:]).replace(tzinfo=timezone.utc).timestamp() * 1000)
             if start > edge or (start == edge and edge == keep_from_ms):
                 continue

@@ -17,6 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from logspark.operators.components import connected_components
+from logspark.operators.pivots import PivotIndex, build_pivots
 from logspark.session import cut_lineage
 
 # Cluster size, core size and anomaly thresholds per analysis mode.
@@ -81,21 +82,6 @@ def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
 # --- grouping ----------------------------------------------------------------------------------
 
 
-def _tiles(vectors: DataFrame, tile_rows: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Vectors dealt evenly into blocks, each block sent to every block it meets.
-
-    One group per unordered pair of blocks: at most 2 x ``tile_rows`` vectors, however the data is
-    skewed, because blocks are cut by a hash of the id.
-    """
-    count = vectors.count()
-    blocks = max(1, math.ceil(count / tile_rows))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    meets = F.sequence(F.lit(0), F.lit(blocks - 1))
-    return vectors.select("id", "vector", *extra, own.alias("own"), F.explode(meets).alias("other")).withColumn(
-        "low", F.least("own", "other")
-    ).withColumn("high", F.greatest("own", "other"))
-
-
 def _close_rows(pdf, eps):
     """Ids and boolean closeness matrix of one pair of blocks (within cosine distance eps)."""
     import numpy as np
@@ -129,7 +115,7 @@ def _label_local(close):
         label = new
 
 
-def _degrees(vectors: DataFrame, eps: float, tile_rows: int) -> DataFrame:
+def _degrees(index: PivotIndex, eps: float) -> DataFrame:
     close_rows = _close_rows
 
     def count(pdf):
@@ -138,12 +124,12 @@ def _degrees(vectors: DataFrame, eps: float, tile_rows: int) -> DataFrame:
         pdf, _, close = close_rows(pdf, eps)
         return pd.DataFrame({"id": pdf["id"].to_numpy(), "near": close.sum(axis=1)})
 
-    tiles = _tiles(vectors, tile_rows).groupBy("low", "high").applyInPandas(count, "id long, near long")
+    tiles = index.tiles(eps).groupBy("low", "high").applyInPandas(count, "id long, near long")
     return tiles.groupBy("id").agg(F.sum("near").alias("near"))
 
 
-def _forest(vectors: DataFrame, eps: float, tile_rows: int) -> DataFrame:
-    """Per pair of blocks, edges that span its components: at most one per vector, never all pairs."""
+def _forest(index: PivotIndex, eps: float, rows: DataFrame | None = None) -> DataFrame:
+    """Per allowed pair of blocks, edges that span its components: at most one per vector, never all pairs."""
     close_rows, label_local = _close_rows, _label_local
 
     def span(pdf):
@@ -154,10 +140,10 @@ def _forest(vectors: DataFrame, eps: float, tile_rows: int) -> DataFrame:
         label = label_local(close)
         return pd.DataFrame({"a": ids, "b": ids[label]}).query("a != b")
 
-    return _tiles(vectors, tile_rows).groupBy("low", "high").applyInPandas(span, "a long, b long")
+    return index.tiles(eps, rows).groupBy("low", "high").applyInPandas(span, "a long, b long")
 
 
-def _borders(vectors: DataFrame, eps: float, tile_rows: int) -> DataFrame:
+def _borders(index: PivotIndex, marked: DataFrame, eps: float) -> DataFrame:
     """Nearest core within eps of every non-core vector (``core`` column), lowest id on ties."""
     close_rows = _close_rows
 
@@ -175,16 +161,18 @@ def _borders(vectors: DataFrame, eps: float, tile_rows: int) -> DataFrame:
         keep = ~core & np.isfinite(at)
         return pd.DataFrame({"id": ids[keep], "gap": at[keep], "core_id": ids[best][keep]})
 
-    tiles = _tiles(vectors, tile_rows, ("core",)).groupBy("low", "high").applyInPandas(nearest, "id long, gap double, core_id long")
+    tiles = index.tiles(eps, marked).groupBy("low", "high").applyInPandas(nearest, "id long, gap double, core_id long")
     return tiles.groupBy("id").agg(F.min_by("core_id", F.struct("gap", "core_id")).alias("core_id"))
 
 
 def cosine_groups(vectors: DataFrame, threshold: float = 0.3, tile_rows: int = 1024) -> DataFrame:
     """``id, vector`` -> ``id, label``: components of the graph of pairs within ``threshold``.
 
-    Single linkage, label = smallest member id, no noise. Exact.
+    Single linkage, label = smallest member id, no noise. Exact: blocks of at most some ``tile_rows`` vectors are
+    compared unless their pivots and rings put them further apart (``PivotIndex.pairs``).
     """
-    found = connected_components(_forest(vectors, threshold, tile_rows))
+    index = build_pivots(vectors.select("id", "vector"), tile_rows)
+    found = connected_components(_forest(index, threshold))
     return vectors.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
 
 
@@ -196,14 +184,15 @@ def density_clusters(
     Core = at least ``min_samples`` vectors within eps, itself included; clusters are the components
     of the cores, label = smallest core id; other vectors join their nearest core within eps.
     """
-    degrees = _degrees(vectors, eps, tile_rows)
-    marked = vectors.select("id", "vector").join(degrees, "id", "left").withColumn("core", F.coalesce("near", F.lit(0)) + 1 >= min_samples).drop("near")
+    index = build_pivots(vectors.select("id", "vector"), tile_rows)
+    degrees = _degrees(index, eps)
+    marked = index.rows.join(degrees, "id", "left").withColumn("core", F.coalesce("near", F.lit(0)) + 1 >= min_samples).drop("near")
     marked = cut_lineage(marked)
-    cores = marked.where("core").select("id", "vector")
-    linked = connected_components(_forest(cores, eps, tile_rows))
+    cores = marked.where("core").select("id", "vector", "block")
+    linked = connected_components(_forest(index, eps, cores))
     core_labels = cores.select("id").join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
     core_labels = cut_lineage(core_labels)
-    border = _borders(marked, eps, tile_rows).join(core_labels.select(F.col("id").alias("core_id"), "label"), "core_id").select("id", "label")
+    border = _borders(index, marked, eps).join(core_labels.select(F.col("id").alias("core_id"), "label"), "core_id").select("id", "label")
     labelled = cut_lineage(core_labels.unionByName(border))
     big = labelled.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= min_cluster_size).select("label")
     kept = labelled.join(big, "label")

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logspark.operators import components as CC, drift as R, scoring as S, vectors as I
 from logspark.plans.analysis import analyze, build_baseline, compare_runs, merge_baseline
+from logspark.operators.pivots import VectorIndex, build_pivots, write_index
 from logspark.operators.storage import baseline_annotate
 from conftest import plan_of
 
@@ -85,10 +87,63 @@ def test_cosine_groups(frame):
 def test_forest_never_lists_all_pairs(frame):
     """200 equal vectors: 19 900 close pairs, but at most one edge per vector and tile."""
     same = vec_frame(frame, np.ones((200, 4), dtype=np.float32))
-    assert I._forest(same, 0.1, 64).count() <= 200 * 7
+    assert I._forest(build_pivots(same, 64), 0.1).count() <= 200 * 7
     assert I.cosine_groups(same, 0.1, tile_rows=64).select("label").distinct().count() == 1
 
 
+def directions(n, groups, dim=24, seed=2):
+    """n unit vectors round ``groups`` directions."""
+    rng = np.random.default_rng(seed)
+    center = rng.normal(0, 1, (groups, dim))
+    x = center[rng.integers(0, groups, n)] + rng.normal(0, 0.05, (n, dim))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_pivot_blocks_are_bounded_and_lose_no_pair(frame):
+    matrix = np.vstack([directions(300, 12), np.repeat(directions(1, 1), 200, axis=0), np.zeros((3, 24))]).astype(np.float32)
+    rows = vec_frame(frame, matrix)
+    for metric, reach in (("cosine", 0.05), ("l2", 0.4), ("cosine", 1.0)):
+        index = build_pivots(rows, 32, metric)
+        held = {r.id: r.block for r in index.rows.select("id", "block").collect()}
+        assert len(held) == 503 and max(Counter(held.values()).values()) <= 60
+        met = {(r.low, r.high) for r in index.pairs(reach).collect()}
+        x = matrix.astype(np.float64)
+        if metric == "cosine":
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            gap = 1 - x @ x.T
+        else:
+            gap = np.linalg.norm(x[:, None] - x[None], axis=2)
+        for i, j in zip(*np.nonzero(np.triu(gap <= reach, 1))):
+            assert (min(held[i], held[j]), max(held[i], held[j])) in met
+        every = len(index.blocks) * (len(index.blocks) + 1) // 2
+        assert len(met) <= every and (reach >= 1 or len(met) < 0.4 * every)
+
+
+def test_compared_blocks_grow_with_the_rows_not_their_square(frame):
+    """Templates that come in groups: four times as many make far fewer than sixteen times the pairs."""
+    few, many = (build_pivots(vec_frame(frame, directions(n, n // 25)), 20).pairs(0.02).count() for n in (250, 1000))
+    assert many < 8 * few
+
+
+def test_inverted_file_is_exact_and_reads_part(frame, tmp_path, spark):
+    matrix = np.vstack([directions(900, 30), np.zeros((2, 24))]).astype(np.float32)
+    rows = vec_frame(frame, matrix).withColumn("template", F.concat(F.lit("t"), F.col("id").cast("string")))
+    asked = [(int(i), [float(v) for v in matrix[i]]) for i in range(0, 900, 50)]
+    for metric in ("cosine", "l2"):
+        path = str(tmp_path / metric)
+        write_index(rows, path, 24, metric)
+        index = VectorIndex(spark, path)
+        order = lambda df: sorted((r.query_id, r.rank, r.id, r.template, round(r.distance, 7)) for r in df.collect())
+        one = asked[:1]
+        assert order(index.search(one, 4)) == order(I.semantic_search_many(rows, one, 4, metric))
+        assert 0 < index.read < len(index.blocks) / 2
+        edge = [*asked, (10_000, [0.0] * 24), (10_001, [1.0] + [0.0] * 23)]
+        assert order(index.search(edge, 4)) == order(I.semantic_search_many(rows, edge, 4, metric))
+        assert len(index.search(one, 2000).collect()) == 902 and index.search([], 3).count() == 0
+    write_index(rows.limit(0), str(tmp_path / "none"))
+    assert VectorIndex(spark, str(tmp_path / "none")).search(asked, 3).count() == 0
+
+
 # --- nearest ----------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@ import json
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,7 +101,7 @@ def test_forecast(spark, frame):
     points = frame(falling + short + flat, "slo_id long, t long, value double").select("slo_id", at_ms(F.col("t") * 60_000).alias("timestamp"), "value")
     slos = frame([(i, "t", f"n{i}", "api", "availability", 95.0, 7) for i in (1, 2, 3)], SLO)
     got = {r.slo_id: r.steps_to_breach for r in J.slo_forecast(points, slos).collect()}
-    assert got == {1: 12, 3: None}  # the line is 100 - 0.1 h: 96.1 now, below 95.0 after 12 steps
+    assert got == {1: 12, 2: None, 3: None}  # the line is 100 - 0.1 h: 96.1 now, below 95.0 after 12 steps
     found = J.predictive_incidents(J.slo_forecast(points, slos), frame([("t", "other", "OPEN")], "tenant_id string, title string, status string"), 0).collect()
     assert [(r.title, r.steps_to_breach) for r in found] == [("Predictive Warning: n1 will breach soon", 12)]
     known = frame([("t", "Predictive Warning: n1 will breach soon", "OPEN")], "tenant_id string, title string, status string")
@@ -302,6 +303,22 @@ def test_prune_drops_days_and_rewrites_the_boundary(spark, frame, tmp_path):
     assert B.read_stored(spark, path).count() == 4 and spark.read.json(str(tmp_path / "old")).count() == 5
 
 
+def test_prune_with_rows_without_time_and_escaped_tenants(spark, frame, tmp_path):
+    path = str(tmp_path / "logs")
+    rows = [("a:b/c", 10 * DAY), ("a:b/c", 12 * DAY), ("a:b/c", None), ("d", 10 * DAY)]
+    logs = frame(rows, "tenant_id string, ms long").select("tenant_id", F.lit("s").alias("source"), F.lit("m").alias("message"), F.timestamp_millis("ms").alias("timestamp"))
+    B.write_logs(logs, path)
+    assert B.prune_table(spark, path, 11 * DAY, tenant="a:b/c") == 1
+    left = [(r.tenant_id, r.ms) for r in B.read_stored(spark, path).select("tenant_id", F.unix_millis("timestamp").alias("ms")).collect()]
+    assert Counter(left) == Counter([("a:b/c", 12 * DAY), ("a:b/c", None), ("d", 10 * DAY)])
+
+
+def test_no_metric_rules_no_metrics(frame):
+    logs = frame([("t", "s", "INFO", "m", "{}", 1)], "tenant_id string, source string, level string, message string, raw_json string, ms long").withColumn("timestamp", F.timestamp_millis("ms"))
+    for rules in ([], [{"id": 1, "query": "m", "enabled": False}]):
+        assert E.extract_metrics(logs, rules).collect() == []
+
+
 def test_windows_reach_the_partitions(spark, frame, tmp_path):
     logs = stored_days(spark, frame, str(tmp_path / "logs"))
     slos = frame([(1, "1", "n", "svc", "availability", 99.0, 2)], "id long, tenant_id string, name string, service string, sli_type string, target_percentage double, window_days int")

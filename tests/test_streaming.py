@@ -31,7 +31,7 @@ def test_ingest_survives_a_repeated_batch(spark, frame, tmp_path):
 def test_live_tail(frame):
     rows = [('{"level":"warn","service":"api-1","message":"x","_tenant_id":"t"}',), ('{"log":"an ERROR here"}',), ("plain error",), ('{"message":"' + "m" * 300 + '"}',)]
     out = [(r.tenant_id, r.level, r.service, len(r.message)) for r in K.live_tail(frame(rows, "value string")).collect()]
-    assert out == [("t", "WARN", "api-1", 1), ("default_tenant", "ERROR", "api", 13), ("default_tenant", "ERROR", "unknown", 11), ("default_tenant", "INFO", "api", 200)]
+    assert out == [("t", "WARN", "api-1", 1), ("default_tenant", "ERROR", "api", 13), ("default_tenant", "ERROR", "unknown", 11), ("default_tenant", "INFO", "api", 300)]
     assert [r.service for r in K.live_tail(frame(rows, "value string"), level="warn", service="API").collect()] == ["api-1"]
 
 
@@ -58,11 +58,13 @@ def log_stream(spark, frame, tmp_path, batches):
 def test_metrics_drop_and_count_late_rows(spark, frame, tmp_path):
     stream = log_stream(spark, frame, tmp_path, [[0, 10, 70], [5000, 5010], [5020], [20], [9000]])
     rules = [{"id": 1, "query": "level:ERROR", "window_seconds": 60}]
+    late = KS.count_late_rows(spark)
     query = KS.stream_metrics(stream, rules, "2 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(**ONCE).start()
     finish(query)
     got = {r.bucket_ms: r.value for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     # the row at second 20 came two batches after its window was passed; the last window is still open
-    assert got == {0: 2.0, 60_000: 1.0, 4_980_000: 3.0} and KS.late_rows(query) == 1
+    assert got == {0: 2.0, 60_000: 1.0, 4_980_000: 3.0} and late.of(query) == 1
+    spark.streams.removeListener(late)
     on_time = spark.read.parquet(str(tmp_path / "in")).where("unix_millis(timestamp) not in (20000, 9000000)")
     assert got == {r.bucket_ms: r.value for r in extract_metrics(on_time, rules).collect()}
 
@@ -91,6 +93,21 @@ def test_held_suppression_does_not_depend_on_batches(spark, frame, tmp_path, bat
     assert sorted(r.ts_ms for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 11, 21, 32, 42, 56]
 
 
+def test_idle_templates_leave_the_state(spark, frame, tmp_path):
+    """A template is forgotten once the watermark is 100 s past its last row, and not before."""
+    batches = [[1, 1, 2], [3, 90, 91], [1001, 95], [2, 3], [4000], [2003, 4003]]
+    stream = log_stream(spark, frame, tmp_path, batches)
+    named = (F.unix_millis("timestamp") / 1000).cast("long") % 10
+    counts = KS.stream_template_counts(stream, F.concat(F.lit("t"), named.cast("string")), idle_ms=100_000, lateness="10 seconds")
+    seen = {}
+    note = lambda b, i: seen.update({(i, r.template): r.n for r in b.collect()})
+    finish(counts.writeStream.outputMode("update").foreachBatch(note).option("checkpointLocation", str(tmp_path / "cp")).trigger(**ONCE).start())
+    by_template = lambda t: [n for (_, x), n in sorted(seen.items()) if x == t]
+    assert by_template("t1") == [2, 3, 4]  # 1, 1 | 91 | 1001
+    assert by_template("t3")[-1] == 2  # 2003 and 4003: what came before was forgotten
+    assert by_template("t0") == [1, 1]  # 90, forgotten when 4000 comes
+
+
 def test_watch_directory(spark, tmp_path):
     seen = []
     (tmp_path / "in").mkdir()
