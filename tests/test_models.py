@@ -116,7 +116,7 @@ def test_pivot_blocks_are_bounded_and_lose_no_pair(frame):
         for i, j in zip(*np.nonzero(np.triu(gap <= reach, 1))):
             assert (min(held[i], held[j]), max(held[i], held[j])) in met
         every = len(index.blocks) * (len(index.blocks) + 1) // 2
-        assert len(met) <= every and (reach >= 1 or len(met) < 0.4 * every)
+        assert len(met) <= every and (reach >= 1 or len(met) < 0.5 * every)  # the copies of one vector fill blocks that must all meet
 
 
 def test_compared_blocks_grow_with_the_rows_not_their_square(frame):
