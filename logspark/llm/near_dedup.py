@@ -21,6 +21,7 @@ MINIMA = 3
 LEAST = 0.8
 LEADERS = 3  # turns of leaders; how much is left to the exact way, not what is found
 PARITY = 4096  # most bits of a text's parity sketch; a longer text only has a weaker bound
+NEAREST = 2  # turns of nearest pairs before all that are left; how much is left, not what is found
 BLOCK = 512  # texts of one bucket on each side of one comparison
 
 
@@ -250,9 +251,11 @@ def _possible(rows: dict[str, list], same: bool, least: float) -> Iterator[tuple
         yield i, np.concatenate(found), np.concatenate(gaps)
 
 
-def _bucket_pairs(members: DataFrame, least: float) -> DataFrame:
+def _bucket_pairs(members: DataFrame, least: float, nearest: bool) -> DataFrame:
     """``a, b, gap``: every pair of ``bucket, node, label, n, parity`` in one bucket, of unlike labels, that can be ``least`` similar.
 
+    With ``nearest``, of every text in a bucket only the pair that differs in the fewest bits: at most one row per member.
+
     Buckets are compared in blocks of ``BLOCK`` texts; what leaves a task are pairs that pass the bounds of
     ``_possible``, before any text is moved.
     """
@@ -265,12 +268,23 @@ def _bucket_pairs(members: DataFrame, least: float) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(key, rows):
             a, b, gap = [], [], []
+            best: dict[int, tuple[int, int]] = {}
             for i, others, gaps in _possible(rows, key[1] == key[2], least) if len(rows["n"]) > 1 else ():
+                if nearest:
+                    for j, g in zip(others.tolist(), gaps.tolist()):
+                        for one, two in ((i, j), (j, i)):
+                            if one not in best or g < best[one][0]:
+                                best[one] = (g, two)
+                    continue
                 for j, g in zip(others.tolist(), gaps.tolist()):
                     x, y = sorted((rows["node"][i], rows["node"][j]))
                     a.append(x)
                     b.append(y)
                     gap.append(g)
+            for x, y in {tuple(sorted((rows["node"][i], rows["node"][j]))) for i, (_, j) in best.items()}:
+                a.append(x)
+                b.append(y)
+                gap.append(0)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(gap, pa.int64())], ["a", "b", "gap"])
 
         held_key, held = None, {n: [] for n in names}
@@ -301,8 +315,8 @@ def near_links(sketched: DataFrame, texts: DataFrame, size: int, least: float) -
     ``LEADERS`` turns a bucket that is not one group by its last leader takes another of its members, linked or
     not, as the next leader for those that have not led; the order of leaders is another one in every table. Buckets
     whose members are then still of several groups are decided exactly: of all their pairs, those that the
-    parity sketches of their shingles do not rule out are aligned (``_bucket_pairs``), the nearest pair of every text first,
-    so every pair of a bucket is either aligned, ruled out by a bound, or in one group by then.
+    parity sketches of their shingles do not rule out are aligned (``_bucket_pairs``). For ``NEAREST`` turns only the nearest
+    pair of every text is, which joins most groups that can be joined; then all that are still of unlike groups. So every pair of a bucket is either aligned, ruled out by a bound, or in one group by then.
     """
     alike = settled(sketched.select("node", "n", F.posexplode("keys").alias("t", "bucket")).withColumn("linked", F.lit(False)).withColumn("hit", F.lit(False)))
     seen = links = None
@@ -337,21 +351,20 @@ def near_links(sketched: DataFrame, texts: DataFrame, size: int, least: float) -
     if labels is None:  # pairs, but no links: every text stands alone so far
         labels = sketched.limit(0).select("node", F.col("node").alias("label"))
     still = alike.join(alike.groupBy("bucket").agg(F.count("*").alias("m"), F.bool_and("hit").alias("one")).where("m > 1 AND NOT one").select("bucket"), "bucket")
-    named = still.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    pairs = settled(_bucket_pairs(named.join(sketched.select("node", "n", "parity"), "node"), least).join(seen, ["a", "b"], "left_anti"))
-    if pairs.isEmpty():
-        return links, labels
-    nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b"))
-    more = decided(nearest).where(F.col("similarity") >= least)
-    links = links.unionByName(more)
-    labels = _components(more, labels)
-    ends = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
-    rest = pairs.join(nearest, ["a", "b"], "left_anti").join(ends("a"), "a", "left").join(ends("b"), "b", "left")
-    rest = settled(rest.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b"))
-    if rest.isEmpty():
-        return links, labels
-    more = decided(rest).where(F.col("similarity") >= least)
-    return links.unionByName(more), _components(more, labels)
+    still = settled(still.select("bucket", "node").join(sketched.select("node", "n", "parity"), "node"))
+    for nearest in (*[True] * NEAREST, False):
+        named = still.join(labels, "node", "left").select("bucket", "node", "n", "parity", F.coalesce("label", "node").alias("label"))
+        pairs = settled(_bucket_pairs(named, least, nearest).join(seen, ["a", "b"], "left_anti").select("a", "b"))
+        if pairs.isEmpty():
+            if nearest:
+                continue
+            break
+        scored = decided(pairs)
+        seen = seen.unionByName(scored.select("a", "b"))
+        more = scored.where(F.col("similarity") >= least)
+        links = links.unionByName(more)
+        labels = _components(more, labels)
+    return links, labels
 
 
 def near_classes(
