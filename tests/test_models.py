@@ -278,6 +278,53 @@ def test_drift_matching_is_the_sequential_one(frame, seed):
     assert {r.ord_a: r.ord_b for r in R.drift_pairs(fa, fb).collect()} == expected
 
 
+def sequential(a, b):
+    free, out = {j for j, *_ in b}, {}
+    for i, _, ta, *_ in a:
+        sims = [(-jaccard(ta, tb), j) for j, _, tb, *_ in b if j in free and jaccard(ta, tb) > 0.40]
+        if sims:
+            out[i] = min(sims)[1]
+            free.discard(out[i])
+    return out
+
+
+def rounds_of(monkeypatch, call):
+    """The result of ``call`` and how often it cut the lineage."""
+    calls, cut = [], R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda df: calls.append(1) or cut(df))
+    return call(), len(calls)
+
+
+@pytest.mark.parametrize("seed, block", [(0, 1 << 16), (1, 7), (2, 1 << 16), (3, 5)])
+def test_drift_matching_of_crowded_classes(frame, monkeypatch, seed, block):
+    """Few token sets with many templates each, equal similarities, interleaved ords, short blocks."""
+    monkeypatch.setattr(R, "BLOCK", block)
+    rnd = random.Random(seed)
+    sets = ["", "a b c", "a b d", "a b c d", "a c d e", "b c"]
+    make = lambda n: [(i, i, "-".join(rnd.sample(t := rnd.choice(sets).split(), len(t))), 1, 0.0, "P3") for i in range(n)]
+    a, b = make(48), make(40)
+    assert {r.ord_a: r.ord_b for r in R.drift_pairs(frame(a, SNAP), frame(b, SNAP)).collect()} == sequential(a, b)
+
+
+def test_drift_rounds_do_not_grow_with_equal_templates(frame, monkeypatch):
+    """Two A classes take turns on one B class and, when it is full, on a less similar one."""
+    def cuts_of(n):
+        a = [(i, i, f"{'x' if i % 2 else 'y'} p q r s t", 1, 0.0, "P3") for i in range(2 * n)]
+        b = [(i, i, "p q r s t", 1, 0.0, "P3") for i in range(n)] + [(n + i, n + i, "p q r s", 1, 0.0, "P3") for i in range(n)]
+        got, cuts = rounds_of(monkeypatch, lambda: {r.ord_a: r.ord_b for r in R.drift_pairs(frame(a, SNAP), frame(b, SNAP)).collect()})
+        monkeypatch.undo()
+        assert got == sequential(a, b)
+        return cuts
+
+    assert cuts_of(4) == cuts_of(24)
+
+
+def test_drift_pairs_of_nothing(frame):
+    empty, null = frame([], SNAP), frame([(1, 1, None, 1, 0.0, "P3")], SNAP)
+    some = frame([(1, 1, "a b", 1, 0.0, "P3")], SNAP)
+    assert R.drift_pairs(empty, some).count() == R.drift_pairs(some, empty).count() == R.drift_pairs(null, some).count() == R.drift_pairs(null, null).count() == 0
+
+
 # --- compositions -----------------------------------------------------------------------------------
 
 
