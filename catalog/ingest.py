@@ -333,9 +333,33 @@ def _(spark, sf):
     return as_ms(kept, ts_ms="timestamp").select("tenant_id", "ts_ms", "source", "message")
 
 
+@entry("B03_retained_table", f"""
+    SELECT l.tenant_id, l.ts_ms, l.source, l.message FROM logs l LEFT JOIN tenants t ON t.id = l.tenant_id
+    WHERE t.id IS NULL OR l.ts_ms >= {NOW} - CAST(86400000 AS BIGINT) * CASE t.tier WHEN 'pro' THEN 30 WHEN 'enterprise' THEN 90 ELSE 7 END""")
+def _(spark, sf):
+    """The tiers applied to a stored table, read back from disk."""
+    path = scratch_path(spark, "retained")
+    B.write_logs(V.logs(spark, sf), path)
+    B.retain(spark, path, tenants(spark, sf), NOW)
+    return as_ms(B.read_stored(spark, path), ts_ms="timestamp").select("tenant_id", "ts_ms", "source", "message")
+
+
 _CUT = NOW - 10 * 86_400_000
 
 
+@entry("B04_archived_table", f"SELECT CASE WHEN ts_ms < {_CUT} + 43200000 THEN 'archive' ELSE 'hot' END AS tier, tenant_id, ts_ms, source, level, message, raw_json FROM logs")
+def _(spark, sf):
+    """A stored table archived in two steps and once again: every row is in one tier, once."""
+    path, archive = scratch_path(spark, "hot"), scratch_path(spark, "cold")
+    logs = V.logs(spark, sf)
+    B.write_logs(logs, path)
+    for cut in (_CUT, _CUT + 43_200_000, _CUT + 43_200_000):
+        B.archive_table(spark, path, archive, cut)
+    tiers = {"archive": B.read_archive(spark, archive, logs.schema), "hot": B.read_stored(spark, path)}
+    old, hot = (as_ms(df, ts_ms="timestamp").select(F.lit(t).alias("tier"), "tenant_id", "ts_ms", "source", "level", "message", "raw_json") for t, df in tiers.items())
+    return old.unionByName(hot)
+
+
 @entry("B04_archive_split", f"SELECT CASE WHEN ts_ms < {_CUT} THEN 'archive' ELSE 'hot' END AS tier, source, count(*) AS n FROM logs GROUP BY 1, 2")
 def _(spark, sf):
     old, hot = B.archive_split(V.logs(spark, sf), _CUT)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 from urllib.parse import unquote
 
@@ -10,7 +12,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from logspark.functions.timing import DAY_MS, at_ms, ms
 from logspark.operators.filters import time_between
-from logspark.session import scratch_path
 
 # Days kept per tier; any other tier keeps the smallest.
 TIER_DAYS = {"pro": 30, "enterprise": 90}
@@ -42,14 +43,16 @@ def write_spans(df: DataFrame, path: str, tenant: str | None = None, mode: str =
     _write_by_day(df, path, "start_time", ("service_name", "start_time"), mode)
 
 
-def read_stored(spark: SparkSession, path: str) -> DataFrame:
+def read_stored(spark: SparkSession, path: str, *days: str) -> DataFrame:
     """A table written by ``write_logs`` / ``write_spans``; tenant ids stay text, whatever they look like.
 
-    The ``date`` partition column stays: ``time_between`` uses it to skip whole days.
+    The ``date`` partition column stays: ``time_between`` uses it to skip whole days. With ``days``, only those
+    folders of the table are listed and read.
     """
-    found = spark.read.parquet(path).schema
+    reader = spark.read.option("basePath", path)
+    found = reader.parquet(*(days or (path,))).schema
     typed = StructType([StructField(f.name, StringType()) if f.name == "tenant_id" else f for f in found.fields])
-    return spark.read.schema(typed).parquet(path)
+    return reader.schema(typed).parquet(*(days or (path,)))
 
 
 def apply_retention(df: DataFrame, tenants: DataFrame, now_ms: int, time: str = "timestamp") -> DataFrame:
@@ -62,48 +65,133 @@ def apply_retention(df: DataFrame, tenants: DataFrame, now_ms: int, time: str =
     return kept.select(*df.columns)
 
 
-def prune_table(spark: SparkSession, path: str, keep_from_ms: int, time: str = "timestamp", tenant: str | None = None) -> int:
-    """Remove rows before ``keep_from_ms`` from a stored table, of one tenant or of all; returns the partitions changed.
+# Folders of a table that readers do not see: days taken out of it, and what stays of a boundary day.
+EXPIRED, REST = ".expired", ".rest"
+
+
+class _Files:
+    """The file system of a path: folders, moves, deletions."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self, folder: str, prefix: str = "", folders: bool = True) -> list[str]:
+        """Names below ``folder``, in order; none if it does not exist."""
+        if not self.exists(folder):
+            return []
+        found = self.fs.listStatus(self._path(folder))
+        return sorted(x.getPath().getName() for x in found if x.isDirectory() == folders and x.getPath().getName().startswith(prefix))
+
+    def exists(self, path: str) -> bool:
+        return self.fs.exists(self._path(path))
+
+    def make(self, folder: str) -> None:
+        self.fs.mkdirs(self._path(folder))
+
+    def delete(self, path: str) -> None:
+        self.fs.delete(self._path(path), True)
+
+    def move(self, source: str, target: str) -> None:
+        """Rename; a folder that is there already takes the files of ``source`` in."""
+        if self.exists(target):
+            for name in self.names(source, folders=False):
+                self.move(f"{source}/{name}", f"{target}/{name}")
+            return
+        self.make(target.rsplit("/", 1)[0])
+        if not self.fs.rename(self._path(source), self._path(target)):
+            raise OSError(f"cannot move {source} to {target}")
+
+
+def _finish(files: _Files, path: str) -> None:
+    """Complete what a lost job left: days it took out get back what stays of them, rows it dropped go."""
+    for name in files.names(f"{path}/{REST}"):
+        rest = f"{path}/{REST}/{name}"
+        for home in files.names(rest, "tenant_id="):
+            for day in files.names(f"{rest}/{home}", "date="):
+                if files.exists(f"{path}/{EXPIRED}/{name}/{home}/{day}"):  # else the day is still whole
+                    files.move(f"{rest}/{home}/{day}", f"{path}/{home}/{day}")
+        files.delete(rest)
+    for name in files.names(f"{path}/{EXPIRED}", "drop_"):
+        files.delete(f"{path}/{EXPIRED}/{name}")
+
 
-    Whole expired (tenant, date) partitions are deleted without reading a row. Only the boundary day is
-    rewritten: what stays of it goes to the shared folder first and then replaces the day. Rows without a time stay.
+def _set_aside(spark: SparkSession, path: str, keep_from: Callable[[str], int | None], time: str, name: str) -> int:
+    """Move the days that hold rows before ``keep_from(tenant)`` to ``EXPIRED/name``; returns how many.
+
+    Whole days are renamed and never read. Of boundary days (one job for all with the same bound) what stays is written to
+    ``REST/name`` first; a day is taken out only then, and what stays takes its place. A job lost in between is completed by the
+    next call. The file system must rename; one call at a time may run, and nothing may be appended to an
+    expired day meanwhile.
     """
-    edge = keep_from_ms - keep_from_ms % DAY_MS
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = lambda folder, prefix: [x.getPath() for x in fs.listStatus(folder) if x.isDirectory() and x.getPath().getName().startswith(prefix)]
-    changed = 0
-    for home in names(root, "tenant_id="):
-        if tenant is not None and unquote(home.getName()[10:]) != tenant:  # special characters of a name are escaped on disk
+    files = _Files(spark, path)
+    _finish(files, path)
+    aside, rest = f"{path}/{EXPIRED}/{name}", f"{path}/{REST}/{name}"
+    out: list[str] = []
+    split: dict[int, list[str]] = {}
+    for home in files.names(path, "tenant_id="):
+        bound = keep_from(unquote(home[10:]))  # special characters of a name are escaped on disk
+        if bound is None:
             continue
-        for day in names(home, "date="):
-            if day.getName() == "date=__HIVE_DEFAULT_PARTITION__":  # rows without a time never expire
-                continue
-            start = int(datetime.fromisoformat(day.getName()[5:]).replace(tzinfo=timezone.utc).timestamp() * 1000)
-            if start > edge or (start == edge and edge == keep_from_ms):
+        edge = bound - bound % DAY_MS
+        for day in files.names(f"{path}/{home}", "date="):
+            if day == "date=__HIVE_DEFAULT_PARTITION__":  # rows without a time never expire
                 continue
-            if start == edge:
-                rows = spark.read.parquet(day.toString())
-                rest = scratch_path(spark, "pruned")
-                rows.where(F.col(time) >= at_ms(keep_from_ms)).write.parquet(rest)
-                spark.read.schema(rows.schema).parquet(rest).write.mode("overwrite").parquet(day.toString())
-            else:
-                fs.delete(day, True)
-            changed += 1
+            start = int(datetime.fromisoformat(day[5:]).replace(tzinfo=timezone.utc).timestamp() * 1000)
+            if start < edge or start == edge < bound:
+                out.append(f"{home}/{day}")
+            if start == edge < bound:
+                split.setdefault(bound, []).append(f"{path}/{home}/{day}")
+    for bound, days in split.items():
+        read_stored(spark, path, *days).where(F.col(time) >= at_ms(bound)).write.mode("append").partitionBy("tenant_id", "date").parquet(rest)
+    for day in out:
+        files.move(f"{path}/{day}", f"{aside}/{day}")
+        if files.exists(f"{rest}/{day}"):
+            files.move(f"{rest}/{day}", f"{path}/{day}")
+    files.delete(rest)
+    return len(out)
+
+
+def prune_table(spark: SparkSession, path: str, keep_from_ms: int, time: str = "timestamp", tenant: str | None = None) -> int:
+    """Remove rows before ``keep_from_ms`` from a stored table, of one tenant or of all; returns the partitions changed.
+
+    Whole expired (tenant, date) partitions go without reading a row, only boundary days are rewritten (``_set_aside``).
+    A job lost on the way loses no row that stays. Rows without a time stay.
+    """
+    changed = _set_aside(spark, path, lambda t: keep_from_ms if tenant in (None, t) else None, time, f"drop_{uuid.uuid4().hex}")
+    _finish(_Files(spark, path), path)
     return changed
 
 
-def retain(spark: SparkSession, path: str, tenants: DataFrame, now_ms: int) -> int:
-    """Apply every listed tenant's tier to a stored table (``prune_table``); ``tenants`` is a small table."""
-    keep = lambda tier: now_ms - TIER_DAYS.get(tier, DEFAULT_DAYS) * DAY_MS
-    return sum(prune_table(spark, path, keep(r["tier"]), tenant=str(r["id"])) for r in tenants.select("id", "tier").toLocalIterator())
+def retain(spark: SparkSession, path: str, tenants: DataFrame, now_ms: int, time: str = "timestamp") -> int:
+    """Apply every listed tenant's tier to a stored table as ``prune_table`` does, in one walk over its folders; ``tenants`` is a small table."""
+    bounds = {str(r["id"]): now_ms - TIER_DAYS.get(r["tier"], DEFAULT_DAYS) * DAY_MS for r in tenants.select("id", "tier").toLocalIterator()}
+    changed = _set_aside(spark, path, bounds.get, time, f"drop_{uuid.uuid4().hex}")
+    _finish(_Files(spark, path), path)
+    return changed
+
 
+def archive_table(spark: SparkSession, path: str, archive: str, cutoff_ms: int, time: str = "timestamp") -> int:
+    """Move what is older than ``cutoff_ms`` from a stored table to an archive, every row once; returns the partitions changed.
 
-def archive_table(spark: SparkSession, path: str, archive: str, cutoff_ms: int) -> int:
-    """Archive what is older than ``cutoff_ms``, then prune it: the hot table shrinks only after the archive is written."""
-    stored = read_stored(spark, path)
-    write_archive(archive_split(stored, cutoff_ms)[0].drop("date"), archive)
-    return prune_table(spark, path, cutoff_ms)
+    Expired days leave the table by a rename, are written next to the archive, and are deleted only when their files are
+    in it. The files carry the name of the move, so a job lost on the way is completed by the next call, which replaces them.
+    """
+    files = _Files(spark, path)
+    changed = _set_aside(spark, path, lambda _: cutoff_ms, time, f"keep_{cutoff_ms}_{uuid.uuid4().hex}")
+    target = _Files(spark, archive)
+    target.make(archive)
+    for name in files.names(f"{path}/{EXPIRED}", "keep_"):
+        held, staged = f"{path}/{EXPIRED}/{name}", f"{archive}/.{name}"
+        old = read_stored(spark, held).where(F.col(time) < at_ms(int(name.split("_")[1]))).drop("date")
+        write_archive(old, staged, "overwrite")
+        for file in target.names(archive, name, folders=False):
+            target.delete(f"{archive}/{file}")
+        for file in target.names(staged, "part-", folders=False):
+            target.move(f"{staged}/{file}", f"{archive}/{name}-{file}")
+        target.delete(staged)
+        files.delete(held)
+    return changed
 
 
 def archive_split(df: DataFrame, cutoff_ms: int, time: str = "timestamp") -> tuple[DataFrame, DataFrame]:
@@ -116,9 +204,9 @@ def archive_split(df: DataFrame, cutoff_ms: int, time: str = "timestamp") -> tup
     return expired, hot
 
 
-def write_archive(old: DataFrame, path: str) -> None:
+def write_archive(old: DataFrame, path: str, mode: str = "append") -> None:
     """gzip JSON lines. Write this before the hot table is pruned."""
-    old.write.mode("append").option("compression", "gzip").option("ignoreNullFields", "false").json(path)
+    old.write.mode(mode).option("compression", "gzip").option("ignoreNullFields", "false").json(path)
 
 
 def read_archive(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -313,6 +313,45 @@ def test_prune_with_rows_without_time_and_escaped_tenants(spark, frame, tmp_path
     assert Counter(left) == Counter([("a:b/c", 12 * DAY), ("a:b/c", None), ("d", 10 * DAY)])
 
 
+def test_archive_survives_lost_jobs(spark, frame, tmp_path, monkeypatch):
+    """Lost before every second of its moves and deletions in turn, the job is completed by the next call: every row stays, once."""
+    cut = 12 * DAY + 6 * 3_600_000
+    whole = {n: getattr(B._Files, n) for n in ("move", "delete")}
+    done = False
+    lost = 1  # 3 and 7: a boundary day is taken out, what stays of it is not back yet
+    while not done:
+        path, old = str(tmp_path / f"hot{lost}"), str(tmp_path / f"old{lost}")
+        before = stored_days(spark, frame, path)
+        expected = Counter((r.tenant_id, r.ms) for r in before.select("tenant_id", F.unix_millis("timestamp").alias("ms")).collect())
+        left = [lost]
+
+        def failing(name):
+            def run(self, *args):
+                left[0] -= 1
+                if left[0] < 0:
+                    raise OSError("lost")
+                return whole[name](self, *args)
+
+            return run
+
+        for name in whole:
+            monkeypatch.setattr(B._Files, name, failing(name))
+        try:
+            B.archive_table(spark, path, old, cut)
+            done = True
+        except OSError:
+            pass
+        for name in whole:
+            monkeypatch.setattr(B._Files, name, whole[name])
+        for _ in range(2):
+            B.archive_table(spark, path, old, cut)
+        hot = Counter((r.tenant_id, r.ms) for r in B.read_stored(spark, path).select("tenant_id", F.unix_millis("timestamp").alias("ms")).collect())
+        cold = Counter((r.tenant_id, r.ms) for r in B.read_archive(spark, old, before.drop("date").schema).select("tenant_id", F.unix_millis("timestamp").alias("ms")).collect())
+        assert hot == Counter({k: n for k, n in expected.items() if k[1] >= cut}) and cold == expected - hot
+        lost += 2
+    assert lost > 9
+
+
 def test_no_metric_rules_no_metrics(frame):
     logs = frame([("t", "s", "INFO", "m", "{}", 1)], "tenant_id string, source string, level string, message string, raw_json string, ms long").withColumn("timestamp", F.timestamp_millis("ms"))
     for rules in ([], [{"id": 1, "query": "m", "enabled": False}]):
