@@ -16,6 +16,7 @@ from logspark.operators.vectors import centroids
 from logspark.plans.analysis import analyze, build_baseline, compare_runs, merge_baseline
 from logspark.plans.explorer import log_explorer
 from logspark.session import scratch_path, spread
+from logspark.operators.storage import read_stored
 from logspark.streaming import ingest as K, state as KS
 
 NOW = V.EVENTS_NOW_MS
@@ -60,6 +61,17 @@ def _(spark, sf):
     return rows.select("tenant_id", F.when(F.contains("raw_json", F.lit('"timestamp"')), F.col("ts_ms")).otherwise(-1).alias("ts_ms"), "source", "level", "message")
 
 
+@entry("K01_compacted_logs", f"SELECT tenant_id, CASE WHEN contains(raw_json, '\"timestamp\"') THEN ts_ms ELSE -1 END AS ts_ms, source, level, message FROM ({SQL_RECORDS})")
+def _(spark, sf):
+    """Streamed logs, compacted in two steps and read back as a stored table."""
+    path, bad, cp, table = (scratch_path(spark, n) for n in ("k01-in", "k01-refused", "k01-mark", "k01-table"))
+    finish(K.start_log_ingest(messages(spark, records(spark, sf).select("value")), path, bad, cp, ALL_AT_ONCE))
+    for through in (None, 2**31, 2**31):
+        K.compact_batches(spark, path, table, through)
+    rows = as_ms(read_stored(spark, table), ts_ms="timestamp")
+    return rows.select("tenant_id", F.when(F.contains("raw_json", F.lit('"timestamp"')), F.col("ts_ms")).otherwise(-1).alias("ts_ms"), "source", "level", "message")
+
+
 @entry("K02_stream_traces", "SELECT 'default_tenant' AS tenant_id, trace_id, span_id, service_name, status_code, start_ms AS end_ms FROM spans")
 def _(spark, sf):
     path, cp = scratch_path(spark, "k02"), scratch_path(spark, "k02-cp")

@@ -69,7 +69,7 @@ def apply_retention(df: DataFrame, tenants: DataFrame, now_ms: int, time: str =
 EXPIRED, REST = ".expired", ".rest"
 
 
-class _Files:
+class Files:
     """The file system of a path: folders, moves, deletions."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -103,7 +103,7 @@ class _Files:
             raise OSError(f"cannot move {source} to {target}")
 
 
-def _finish(files: _Files, path: str) -> None:
+def _finish(files: Files, path: str) -> None:
     """Complete what a lost job left: days it took out get back what stays of them, rows it dropped go."""
     for name in files.names(f"{path}/{REST}"):
         rest = f"{path}/{REST}/{name}"
@@ -124,7 +124,7 @@ def _set_aside(spark: SparkSession, path: str, keep_from: Callable[[str], int |
     next call. The file system must rename; one call at a time may run, and nothing may be appended to an
     expired day meanwhile.
     """
-    files = _Files(spark, path)
+    files = Files(spark, path)
     _finish(files, path)
     aside, rest = f"{path}/{EXPIRED}/{name}", f"{path}/{REST}/{name}"
     out: list[str] = []
@@ -159,7 +159,7 @@ def prune_table(spark: SparkSession, path: str, keep_from_ms: int, time: str = "
     A job lost on the way loses no row that stays. Rows without a time stay.
     """
     changed = _set_aside(spark, path, lambda t: keep_from_ms if tenant in (None, t) else None, time, f"drop_{uuid.uuid4().hex}")
-    _finish(_Files(spark, path), path)
+    _finish(Files(spark, path), path)
     return changed
 
 
@@ -167,7 +167,7 @@ def retain(spark: SparkSession, path: str, tenants: DataFrame, now_ms: int, time
     """Apply every listed tenant's tier to a stored table as ``prune_table`` does, in one walk over its folders; ``tenants`` is a small table."""
     bounds = {str(r["id"]): now_ms - TIER_DAYS.get(r["tier"], DEFAULT_DAYS) * DAY_MS for r in tenants.select("id", "tier").toLocalIterator()}
     changed = _set_aside(spark, path, bounds.get, time, f"drop_{uuid.uuid4().hex}")
-    _finish(_Files(spark, path), path)
+    _finish(Files(spark, path), path)
     return changed
 
 
@@ -177,9 +177,9 @@ def archive_table(spark: SparkSession, path: str, archive: str, cutoff_ms: int,
     Expired days leave the table by a rename, are written next to the archive, and are deleted only when their files are
     in it. The files carry the name of the move, so a job lost on the way is completed by the next call, which replaces them.
     """
-    files = _Files(spark, path)
+    files = Files(spark, path)
     changed = _set_aside(spark, path, lambda _: cutoff_ms, time, f"keep_{cutoff_ms}_{uuid.uuid4().hex}")
-    target = _Files(spark, archive)
+    target = Files(spark, archive)
     target.make(archive)
     for name in files.names(f"{path}/{EXPIRED}", "keep_"):
         held, staged = f"{path}/{EXPIRED}/{name}", f"{archive}/.{name}"

@@ -7,12 +7,14 @@ topic cannot hold the other back.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logspark.functions.text import infer_level
+from logspark.operators.storage import Files, write_logs
 from logspark.sources.otlp import flatten_otlp_spans
 from logspark.sources.records import to_log_table
 
@@ -76,6 +78,34 @@ def idempotent_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def compact_batches(
+    spark: SparkSession, inbox: str, table: str, through: int | None = None, write: Callable[..., None] = write_logs
+) -> int:
+    """Move batches of ``idempotent_sink`` to a table that ``read_stored`` reads, every row once; returns how many were taken.
+
+    Batches up to ``through`` are taken; by default all but the newest, which a restarted stream may write again. They leave
+    the inbox by a rename, are written together by ``write`` (tenant and day, few sorted files), and their files then move
+    into the table. A job lost on the way is completed by the next call: what was taken is written again only if it
+    was not written whole, and files that have moved are not there to move again. Inbox and table are on one file system; one call at a time.
+    """
+    files = Files(spark, inbox)
+    ids = sorted(int(n[9:]) for n in files.names(inbox, "batch_id="))
+    last = through if through is not None else (ids[-1] - 1 if ids else -1)
+    take, name = [i for i in ids if i <= last], uuid.uuid4().hex
+    for i in take:
+        files.move(f"{inbox}/batch_id={i}", f"{inbox}/.taken/{name}/batch_id={i}")
+    for name in sorted({*files.names(f"{inbox}/.taken"), *files.names(f"{inbox}/.staged")}):
+        taken, staged = f"{inbox}/.taken/{name}", f"{inbox}/.staged/{name}"
+        if not files.exists(f"{staged}/_SUCCESS"):
+            write(spark.read.parquet(taken).drop("batch_id"), staged, mode="overwrite")
+        for home in files.names(staged, "tenant_id="):
+            for day in files.names(f"{staged}/{home}", "date="):
+                files.move(f"{staged}/{home}/{day}", f"{table}/{home}/{day}")
+        files.delete(taken)  # before what tells that it was written
+        files.delete(staged)
+    return len(take)
+
+
 def start_log_ingest(
     messages: DataFrame, path: str, rejects: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
@@ -83,9 +113,12 @@ def start_log_ingest(
     store, refuse = idempotent_sink(path), idempotent_sink(rejects)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = quarantine(batch)
-        store(stream_logs(good), batch_id)
-        refuse(bad, batch_id)
+        marked = batch.withColumn("_ok", is_message(F.col("value"))).persist()  # read and judged once for both tables
+        try:
+            store(stream_logs(marked.where("_ok")), batch_id)
+            refuse(marked.where("NOT _ok").drop("_ok"), batch_id)
+        finally:
+            marked.unpersist()
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"processingTime": LINGER})

@@ -316,7 +316,7 @@ def test_prune_with_rows_without_time_and_escaped_tenants(spark, frame, tmp_path
 def test_archive_survives_lost_jobs(spark, frame, tmp_path, monkeypatch):
     """Lost before every second of its moves and deletions in turn, the job is completed by the next call: every row stays, once."""
     cut = 12 * DAY + 6 * 3_600_000
-    whole = {n: getattr(B._Files, n) for n in ("move", "delete")}
+    whole = {n: getattr(B.Files, n) for n in ("move", "delete")}
     done = False
     lost = 1  # 3 and 7: a boundary day is taken out, what stays of it is not back yet
     while not done:
@@ -335,14 +335,14 @@ def test_archive_survives_lost_jobs(spark, frame, tmp_path, monkeypatch):
             return run
 
         for name in whole:
-            monkeypatch.setattr(B._Files, name, failing(name))
+            monkeypatch.setattr(B.Files, name, failing(name))
         try:
             B.archive_table(spark, path, old, cut)
             done = True
         except OSError:
             pass
         for name in whole:
-            monkeypatch.setattr(B._Files, name, whole[name])
+            monkeypatch.setattr(B.Files, name, whole[name])
         for _ in range(2):
             B.archive_table(spark, path, old, cut)
         hot = Counter((r.tenant_id, r.ms) for r in B.read_stored(spark, path).select("tenant_id", F.unix_millis("timestamp").alias("ms")).collect())

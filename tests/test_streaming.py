@@ -1,10 +1,14 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from logspark.functions.timing import at_ms
 from logspark.operators.aggregate import extract_metrics
+from logspark.operators.storage import read_stored
 from logspark.operators.windows import suppress_repeats
 from logspark.streaming import ingest as K, state as KS
+from conftest import plan_of
 
 ONCE = {"availableNow": True}
 
@@ -28,6 +32,49 @@ def test_ingest_survives_a_repeated_batch(spark, frame, tmp_path):
     assert sorted(r.x for r in spark.read.parquet(str(tmp_path / "twice")).collect()) == [1, 2, 3]
 
 
+def test_compacted_batches_hold_every_row_once(spark, frame, tmp_path, monkeypatch):
+    """Lost before each of its moves and deletions in turn, the compaction is completed by the next call."""
+    whole = {n: getattr(K.Files, n) for n in ("move", "delete")}
+
+    def batches(inbox):
+        sink = K.idempotent_sink(inbox)
+        for i in (0, 1, 1, 2):
+            rows = [(t, f"b{i}", d) for t in ("007", "a:b") for d in (1, 2)]
+            sink(frame(rows, "tenant_id string, message string, d long").select("tenant_id", F.lit("s").alias("source"), "message", at_ms(F.col("d") * 86_400_000).alias("timestamp")), i)
+
+    expected = sorted((t, f"b{i}") for i in (0, 1, 2) for t in ("007", "a:b") for _ in (1, 2))
+    lost, done = 0, False
+    while not done:
+        inbox, table, left = str(tmp_path / f"in{lost}"), str(tmp_path / f"table{lost}"), [lost]
+        batches(inbox)
+
+        def failing(name):
+            def run(self, *args):
+                left[0] -= 1
+                if left[0] < 0:
+                    raise OSError("lost")
+                return whole[name](self, *args)
+
+            return run
+
+        for name in whole:
+            monkeypatch.setattr(K.Files, name, failing(name))
+        try:
+            K.compact_batches(spark, inbox, table)
+            done = True
+        except OSError:
+            pass
+        for name in whole:
+            monkeypatch.setattr(K.Files, name, whole[name])
+        K.compact_batches(spark, inbox, table)
+        assert sorted((r.tenant_id, r.message) for r in read_stored(spark, table).collect()) == [x for x in expected if x[1] != "b2"]
+        assert K.compact_batches(spark, inbox, table, through=2) == 1 and K.compact_batches(spark, inbox, table, through=2) == 0
+        assert sorted((r.tenant_id, r.message) for r in read_stored(spark, table).collect()) == expected
+        lost += 1
+    assert lost > 7
+    assert re.search(r"PartitionFilters: \[[^\]]*tenant_id", plan_of(read_stored(spark, table).where(F.col("tenant_id") == "007")))
+
+
 def test_live_tail(frame):
     rows = [('{"level":"warn","service":"api-1","message":"x","_tenant_id":"t"}',), ('{"log":"an ERROR here"}',), ("plain error",), ('{"message":"' + "m" * 300 + '"}',)]
     out = [(r.tenant_id, r.level, r.service, len(r.message)) for r in K.live_tail(frame(rows, "value string")).collect()]
