@@ -1,6 +1,6 @@
 import pytest
 
-from logspark.functions.search import field_match
+from logspark.functions.search import _terms, field_match
 from logspark.operators import filters as C
 
 ROWS = [
@@ -91,3 +91,13 @@ def test_trace_and_incident_search(frame):
     incidents = frame([(7, "Disk", "db", "full", "OPEN"), (8, "Net", None, "slow", "RESOLVED")], "id int, title string, domain string, summary string, status string")
     ids = lambda **k: [r.id for r in C.incident_search(incidents, **k).collect()]
     assert ids(text="inc_7") == [7] and ids(status="RESOLVED") == [8] and ids(domain="db", text="FULL") == [7] and ids() == [7, 8]
+
+
+def test_terms_of_a_search_string():
+    cases = {
+        "": [], "  ": [], "a b": ["a", "b"], 'level:ERROR "time out" x': ["level:ERROR", '"time out"', "x"], 'msg:"a b"c': ['msg:"a b"', "c"],
+        'a:b"c d"': ["a:b", '"c d"'], '"open end': ['"open', "end"], 'f:"open end': ['f:"open', "end"], 'x-y:z "" k:': ["x-y:z", '""', "k:"],
+        'pre"fix in"': ['pre"fix', 'in"'], "a AND\tb\nOR c:d": ["a", "AND", "b", "OR", "c:d"], 'a: "b c"': ["a:", '"b c"'], "t:12:30": ["t:12:30"], ':x': [":x"],
+    }
+    for query, terms in cases.items():
+        assert list(_terms(query)) == terms, query
