@@ -23,6 +23,8 @@ LEADERS = 3  # turns of leaders; how much is left to the exact way, not what is
 PARITY = 4096  # most bits of a text's parity sketch; a longer text only has a weaker bound
 NEAREST = 2  # turns of nearest pairs before all that are left; how much is left, not what is found
 BLOCK = 512  # texts of one bucket on each side of one comparison
+OFTEN = 1 / 16  # share of a crowded bucket's sample from which a shingle counts as frequent there; decides the work, not what is found
+SPLITS = 4  # turns of splitting crowded buckets; what is crowded then is compared block by block
 
 
 class Shingles:
@@ -251,18 +253,101 @@ def _possible(rows: dict[str, list], same: bool, least: float) -> Iterator[tuple
         yield i, np.concatenate(found), np.concatenate(gaps)
 
 
-def _bucket_pairs(members: DataFrame, least: float, nearest: bool) -> DataFrame:
-    """``a, b, gap``: every pair of ``bucket, node, label, n, parity`` in one bucket, of unlike labels, that can be ``least`` similar.
+def _frequent(sample: DataFrame, size: int) -> DataFrame:
+    """``bucket, often``: the labels that at least ``OFTEN`` of the ``bucket, text`` of a bucket hold."""
 
-    With ``nearest``, of every text in a bucket only the pair that differs in the fewest bits: at most one row per member.
+    def run(table: pa.Table) -> pa.Table:
+        shingles = Shingles(Words(pa.concat_arrays(table.column("text").chunks), ALNUM, lower=True), size)
+        label, held = np.unique(shingles.label, return_counts=True)
+        often = label[held >= max(2, table.num_rows * OFTEN)].view(np.int64)
+        return pa.table({"bucket": table.column("bucket")[:1], "often": pa.array([often], pa.list_(pa.int64()))})
 
-    Buckets are compared in blocks of ``BLOCK`` texts; what leaves a task are pairs that pass the bounds of
-    ``_possible``, before any text is moved.
+    return sample.groupBy("bucket").applyInArrow(run, "bucket long, often array<long>")
+
+
+def _rare(size: int):
+    """``keys``: the first ``spare`` + 1 labels of a text that are not in ``often``; ``near``: there are no more than ``spare``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            shingles = Shingles(Words(batch.column("text"), ALNUM, lower=True), size)
+            keys, near = [], []
+            for i, spare in enumerate(batch.column("spare").to_pylist()):
+                often = batch.column("often")[i].values
+                own = shingles.label[shingles.first[i] : shingles.first[i + 1]].view(np.int64)
+                rare = np.setdiff1d(own, often.to_numpy(zero_copy_only=False)) if often is not None else np.sort(own)
+                keys.append(rare[: spare + 1])
+                near.append(len(rare) <= spare)
+            kept = batch.select(["bucket", "node", "label", "n", "parity"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(keys, pa.list_(pa.int64())), pa.array(near, pa.bool_())], [*kept.schema.names, "keys", "near"])
+
+    return run
+
+
+def _split(members: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """``bucket, node, label, n, parity`` with crowded buckets split: similar texts of unlike labels of a bucket meet in one of its parts.
+
+    Two similar texts lack at most ``spare`` of each other's shingles, a bound by their lengths. In an order in which the shingles that are
+    frequent in the bucket come last, the first one they share is therefore among the first ``spare`` + 1 of both. If it is not a
+    frequent one, they meet in the part of that shingle, which few texts hold; if it is, neither has more than ``spare``
+    others, and they meet in the part of such texts. Which shingles count as frequent is taken from a sample of about
+    ``BLOCK`` texts; that decides how large parts are, never what meets. Parts of one label, of the same texts (128 bits) as another, or whose texts
+    meet in the last part anyway are dropped, crowded ones are split again.
+    """
+    names = ["bucket", "node", "label", "n", "parity"]
+    done = None
+    for turn in range(SPLITS + 1):
+        sizes = settled(members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("n").alias("fewest"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").drop("x", "y"))
+        crowded = sizes.where(F.col("m") > BLOCK)
+        last = turn == SPLITS or crowded.isEmpty()
+        part = members.join(sizes if last else sizes.where(F.col("m") <= BLOCK), "bucket", "left_semi").select(names)
+        done = part if done is None else done.unionByName(part)
+        if last:
+            return done
+        held = members.join(crowded, "bucket").join(texts.select("node", "text"), "node")
+        sample = held.where(F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("m") / BLOCK)) == 0).select("bucket", "text")
+        other = F.greatest("fewest", F.ceil(F.col("n") * least - 1e-6))
+        spare = F.col("n") - F.ceil((F.col("n") + other) * (least / (1 + least)) - 1e-6)
+        asked = held.join(settled(_frequent(sample, size)), "bucket", "left").select(*names, spare.cast("long").alias("spare"), "often", "text")
+        keyed = settled(asked.mapInArrow(_rare(size), "bucket long, node binary, label binary, n long, parity binary, keys array<long>, near boolean"))
+        done = done.unionByName(keyed.where("near").select(names))
+        keys = keyed.select("bucket", "node", "label", "near", F.explode("keys").alias("key"))
+        same = [F.count("*").alias("m"), *(F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"set{i}") for i in range(2))]
+        shared = keys.groupBy("bucket", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.bool_and("near").alias("near"), *same).where("x < y AND NOT near")
+        shared = shared.groupBy("bucket", "m", "set0", "set1").agg(F.min("key").alias("key")).select("bucket", "key")
+        parts = keys.join(shared, ["bucket", "key"]).select("bucket", "node", "key").join(keyed.drop("keys", "near"), ["bucket", "node"])
+        members = settled(parts.withColumn("bucket", F.xxhash64("bucket", "key")).select(names))
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """``bucket, low, high, block, node, n, parity``: the members of a bucket in blocks; every pair of unlike labels meets in one (bucket, low, high).
+
+    Up to ``BLOCK`` members are one block. Beyond that those of the commonest label, which need not be compared with each other, are in blocks of
+    their own and copied only per block of the others.
     """
-    sizes = settled(members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    dealt = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "label", "n", "parity")
+    counts = members.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    sizes = counts.groupBy("bucket").agg(F.sum("k").alias("m"), F.max(F.struct("k", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1")
+    crowded = F.col("m") > BLOCK
+    few = F.when(crowded, F.ceil((F.col("m") - F.col("major.k")) / BLOCK)).otherwise(1)
+    many = F.when(crowded, F.ceil(F.col("major.k") / BLOCK)).otherwise(0)
+    sizes = settled(sizes.select("bucket", few.cast("int").alias("few"), many.cast("int").alias("many"), F.when(crowded, F.col("major.label")).alias("major")))
+    most = F.col("label").eqNullSafe(F.col("major"))
+    block = F.when(most, F.col("few") + F.pmod(F.xxhash64("node"), F.greatest("many", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), "few"))
+    dealt = members.join(sizes, "bucket").withColumn("block", block.cast("int")).withColumn("most", most)
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(F.col("most"), 0).otherwise(F.col("many")))).alias("other"))
+    return dealt.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "n", "parity")
+
+
+def _bucket_pairs(dealt: DataFrame, least: float, nearest: bool) -> DataFrame:
+    """``a, b, gap``: every pair of ``bucket, low, high, block, node, label, n, parity`` that meets, of unlike labels, that can be ``least`` similar.
+
+    With ``nearest``, of every text in a comparison only the pair that differs in the fewest bits: at most one row per member.
+
+    What leaves a task are pairs that pass the bounds of ``_possible``, before any text is moved.
+    """
+    keys = ["bucket", "low", "high"]
+    unlike = dealt.groupBy(*keys).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select(*keys)
+    dealt = dealt.join(unlike, keys, "left_semi")
     names = ["block", "node", "label", "n", "parity"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +388,6 @@ def _bucket_pairs(members: DataFrame, least: float, nearest: bool) -> DataFrame:
         if held_key is not None:
             yield pairs(held_key, held)
 
-    keys = ["bucket", "low", "high"]
     found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a binary, b binary, gap long")
     return found.groupBy("a", "b").agg(F.min("gap").alias("gap"))
 
@@ -315,7 +399,8 @@ def near_links(sketched: DataFrame, texts: DataFrame, size: int, least: float) -
     ``LEADERS`` turns a bucket that is not one group by its last leader takes another of its members, linked or
     not, as the next leader for those that have not led; the order of leaders is another one in every table. Buckets
     whose members are then still of several groups are decided exactly: of all their pairs, those that the
-    parity sketches of their shingles do not rule out are aligned (``_bucket_pairs``). For ``NEAREST`` turns only the nearest
+    parity sketches of their shingles do not rule out are aligned (``_bucket_pairs``). Buckets of more than ``BLOCK`` members are first split by their rare
+    shingles, which parts no similar texts (``_split``). For ``NEAREST`` turns only the nearest
     pair of every text is, which joins most groups that can be joined; then all that are still of unlike groups. So every pair of a bucket is either aligned, ruled out by a bound, or in one group by then.
     """
     alike = settled(sketched.select("node", "n", F.posexplode("keys").alias("t", "bucket")).withColumn("linked", F.lit(False)).withColumn("hit", F.lit(False)))
@@ -351,9 +436,11 @@ def near_links(sketched: DataFrame, texts: DataFrame, size: int, least: float) -
     if labels is None:  # pairs, but no links: every text stands alone so far
         labels = sketched.limit(0).select("node", F.col("node").alias("label"))
     still = alike.join(alike.groupBy("bucket").agg(F.count("*").alias("m"), F.bool_and("hit").alias("one")).where("m > 1 AND NOT one").select("bucket"), "bucket")
-    still = settled(still.select("bucket", "node").join(sketched.select("node", "n", "parity"), "node"))
+    still = still.select("bucket", "node").join(sketched.select("node", "n", "parity"), "node").join(labels, "node", "left")
+    still = settled(still.withColumn("label", F.coalesce("label", "node")))
+    dealt = settled(_dealt(_split(still, texts, size, least)))
     for nearest in (*[True] * NEAREST, False):
-        named = still.join(labels, "node", "left").select("bucket", "node", "n", "parity", F.coalesce("label", "node").alias("label"))
+        named = dealt.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         pairs = settled(_bucket_pairs(named, least, nearest).join(seen, ["a", "b"], "left_anti").select("a", "b"))
         if pairs.isEmpty():
             if nearest:

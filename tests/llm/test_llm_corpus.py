@@ -118,6 +118,41 @@ def test_near_crowded_bucket(spark, monkeypatch):
     assert sorted(Counter(c for c, _ in want.values()).values()) == [1] * 20 + [7] * 10
 
 
+def test_near_crowded_bucket_is_split(spark, monkeypatch):
+    """Variants of one text in one bucket, each with a twin: all twins meet, and copies of members grow with the bucket, not its square."""
+    from logspark.llm.words import ALNUM, Words
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(150)]
+
+    def changed(text, n):
+        text = list(text)
+        for at in rng.sample(range(len(text)), n):
+            text[at] = word()
+        return text
+
+    for m in (64, 256):
+        half = [changed(base, rng.randrange(5, 12)) for _ in range(m // 2)]
+        column = pa.array([" ".join(t) for t in [*half, *(changed(t, 1) for t in half)]], pa.large_string())
+        words = Words(column, ALNUM, lower=True)
+        shingles, names = near_dedup.Shingles(words, 5), near_dedup._nodes(words, column)
+        rows = [(7, x, x, int(n), p) for x, n, p in zip(names, np.diff(shingles.first), near_dedup._parity(shingles))]
+        members = spark.createDataFrame(rows, "bucket long, node binary, label binary, n long, parity binary")
+        texts = spark.createDataFrame(list(zip(names, column.to_pylist())), "node binary, text string")
+        dealt = near_dedup._dealt(near_dedup._split(members, texts, 5, 0.8)).collect()
+        part = lambda i: shingles.label[shingles.first[i] : shingles.first[i + 1]]
+        links = {frozenset((names[i], names[j])) for i in range(m) for j in range(i) if near_dedup.aligned(part(i), part(j), 0.8) >= 0.8}
+        together = defaultdict(list)
+        for r in dealt:
+            together[r.bucket, r.low, r.high].append((bytes(r.node), r.block))
+        met = {frozenset((a, b)) for (_, low, high), v in together.items() for a, x in v for b, y in v if low == high or x != y}
+        assert links <= met and len(links) >= m // 2
+        assert len(dealt) < 8 * m  # 64 * 4 and 256 * 16 when every block met every other
+        assert max(map(len, together.values())) <= 64
+
+
 def test_components_by_contraction(spark):
     rng = random.Random(12)
     name = lambda i: hashlib.md5(str(i).encode()).digest()
