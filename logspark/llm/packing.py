@@ -59,6 +59,29 @@ class Encoder:
     def _forget(self) -> None:
         self.known = pa.array([], pa.large_string())
         self.first, self.ids = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+        self.again = np.zeros(0, dtype=bool)
+
+    def _trim(self) -> None:
+        """Only words that were met again, in a later batch than the one they came with or since the last trim, are still known."""
+        keep, size = self.again, np.diff(self.first)
+        self.known, self.ids = self.known.filter(pa.array(keep)), self.ids[np.repeat(keep, size)]
+        self.first = np.concatenate(([0], np.cumsum(size[keep])))
+        self.again = np.zeros(len(self.known), dtype=bool)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the distinct ``words`` are in what is known; unknown ones are learned."""
+        for make_room in (self._trim, self._forget, None):
+            spot = pc.index_in(words, value_set=self.known)
+            if make_room is None or max(len(self.known) + spot.null_count, len(self.ids) >> 4) <= MEMORY:
+                break
+            make_room()
+        new = pc.is_null(spot).to_numpy(zero_copy_only=False)
+        place = pc.fill_null(spot, 0).to_numpy().astype(np.int64)
+        self.again[place[~new]] = True
+        if spot.null_count:
+            place[new] = len(self.known) + np.arange(spot.null_count)
+            self._learn(words.filter(pa.array(new)))
+        return place
 
     def _learn(self, words: pa.Array) -> None:
         made = [e.ids for e in self.model.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
@@ -66,6 +89,7 @@ class Encoder:
         self.first = np.concatenate((self.first, ends))
         self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(made), np.uint32)))
         self.known = pa.concat_arrays([self.known, words])
+        self.again = np.concatenate((self.again, np.zeros(len(words), dtype=bool)))
 
     def _cuts(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Where words start, the starts of rows and the end of the data included."""
@@ -96,13 +120,7 @@ class Encoder:
         starts = self._cuts(data, rows)
         words = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data.tobytes()))
         coded = words.dictionary_encode()
-        if max(len(self.known) + len(coded.dictionary), len(self.ids) >> 4) > MEMORY:
-            self._forget()
-        spot = pc.index_in(coded.dictionary, value_set=self.known)
-        if spot.null_count:
-            self._learn(coded.dictionary.filter(pc.is_null(spot)))
-            spot = pc.index_in(coded.dictionary, value_set=self.known)
-        word = spot.to_numpy()[coded.indices.to_numpy()]
+        word = self._places(coded.dictionary)[coded.indices.to_numpy()]
         begin, size = self.first[word], self.first[word + 1] - self.first[word]
         ends = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]

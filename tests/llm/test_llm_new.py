@@ -130,6 +130,26 @@ def test_words_encoded_apart_have_the_ids_of_the_whole(vocabulary):
         assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [ids_of(vocabulary, t)[:-1] for t in batch]
 
 
+def test_repeated_words_stay_known(vocabulary, monkeypatch):
+    """When the memory of words is full, those met again stay; ids are right and the memory bounded, also by a batch beyond it."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "MEMORY", 100)
+    encoder, learned = packing.Encoder(vocabulary), Counter()
+    real = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: (learned.update(words.to_pylist()), real(words)))
+    common = [f" common{chr(97 + i)}" for i in range(20)]
+    for n in range(12):
+        texts = ["x" + "".join(common), "".join(f" once{chr(97 + n)}{chr(97 + i)}" for i in range(25))]
+        first, ids = encoder.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [ids_of(vocabulary, t)[:-1] for t in texts]
+        assert len(encoder.known) == len(encoder.first) - 1 <= 100
+    assert [learned[w] for w in common] == [1] * 20
+    texts = [" ".join(f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)), "".join(common)]
+    first, ids = encoder.encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [ids_of(vocabulary, t)[:-1] for t in texts]
+
+
 def placed(configs):
     out = Counter()
     for config, n in configs:
