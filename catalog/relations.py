@@ -10,7 +10,7 @@ from logspark import views as V
 from logspark.functions.text import text_key
 from logspark.functions.timing import at_ms
 from logspark.operators import aggregate as E, drift as R, intervals as I, relations as G, windows as H
-from logspark.session import cut_lineage
+from logspark.session import cut_lineage, numbered, stored
 
 NOW = V.EVENTS_NOW_MS
 WINDOW = 60_000
@@ -180,15 +180,37 @@ def _(spark, sf):
 def snapshots(spark, sf):
     """Templates of even and of odd documents as two runs."""
     from logspark.functions.text import normalise
-    from pyspark.sql import Window as W
 
-    d = V.documents(spark, sf).select(F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("run"), normalise(F.col("text")).alias("template"))
-    n = d.groupBy("run", "template").agg(F.count("*").alias("size"))
-    rows = n.select(
-        "run", F.row_number().over(W.partitionBy("run").orderBy(F.col("size").desc(), "template")).alias("ord"), "template", "size",
-        ((F.length("template") % 100) / F.lit(100.0)).alias("anomaly_score"), F.concat(F.lit("P"), (F.length("template") % 4).cast("string")).alias("priority"),
+    documents = V.documents(spark, sf).select("doc_id", "text")
+
+    def templates(d):
+        run, text = F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"), F.col("template")
+        key = F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
+        return d.select("doc_id", run.alias("run"), normalise(F.col("text")).alias("template")).withColumn("key", key)
+
+    def with_template(d, rows):
+        """``rows`` (``run, key, doc_id`` and more) with their templates; an id may have several documents of a template."""
+        mark, texts = F.xxhash64("doc_id").alias("mark"), templates(d).select("run", "key", F.xxhash64("doc_id").alias("mark"), "template")
+        others = [c for c in rows.columns if c not in ("run", "key", "doc_id")]
+        met = texts.join(rows.select("run", "key", mark, *others), ["run", "key", "mark"]).groupBy("run", "key", "mark")
+        return met.agg(F.first("template").alias("template"), *[F.first(c).alias(c) for c in others]).drop("mark")
+
+    text = F.col("template")
+    n = templates(documents).groupBy("run", "key", F.substring(text, 1, 32).alias("head"), F.length(text).alias("length"))
+    n = cut_lineage(n.agg(F.count("*").alias("size"), F.min("doc_id").alias("doc_id")))
+    # ords by size and text; whole texts are compared only where size and beginning are equal
+    begun = n.select("run", "key", "doc_id", F.xxhash64("run", "size", "head").alias("same"))
+    ties = begun.groupBy("same").agg(F.count("*").alias("_n")).where("_n > 1").select("same")
+    tied = cut_lineage(begun.join(ties, "same", "left_semi").drop("same"))
+    tied = F.broadcast(tied) if tied.count() <= R.FEW else tied
+    few = documents.join(tied.select("doc_id"), "doc_id", "left_semi")
+    whole = with_template(few, tied).withColumnRenamed("template", "whole")
+    ranked = numbered(n.join(whole, ["run", "key"], "left"), "ord", ["run"], [F.col("size").desc(), F.col("head"), F.col("whole")])
+    rows = with_template(documents, ranked.select("run", "key", "doc_id", "ord", "size", "length")).select(
+        "run", F.col("ord").cast("int").alias("ord"), "template", "size",
+        ((F.col("length") % 100) / F.lit(100.0)).alias("anomaly_score"), F.concat(F.lit("P"), (F.col("length") % 4).cast("string")).alias("priority"),
     ).withColumn("cluster_id", F.col("ord"))
-    rows = cut_lineage(rows)
+    rows = stored(rows, "snapshots")
     return rows.where("run = 'a'").drop("run"), rows.where("run = 'b'").drop("run")
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
 def local_session(cores: str | int = "*", app: str = "logspark") -> SparkSession:
@@ -61,6 +61,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: compressed and by column, for rows with texts or sets."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, keys: list[str], order: list[Column]) -> DataFrame:
+    """``df`` stored, with ``name``: the rank from 1 by ``order`` within ``keys`` (which must not be null).
+
+    Rows are dealt by ranges of keys and order, so no task sorts them all; what is counted together is a row per task and key.
+    """
+    at = F.monotonically_increasing_id()
+    sorted_rows = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", at)
+    kept = stored(sorted_rows, "numbered").withColumn("_task", F.shiftright("_at", 33))
+    counts = kept.groupBy(*keys, "_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = W.partitionBy(*keys).orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(*keys, "_task", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    ranked = kept.join(F.broadcast(counts), [*keys, "_task"])
+    return ranked.withColumn(name, F.col("_at") - F.col("_first") + F.col("_before") + 1).select(*df.columns, name)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """For work that is heavy per row: deal the rows out when the scan has fewer splits than cores.
 

@@ -11,6 +11,7 @@ from logspark.operators import components as CC, drift as R, scoring as S, vecto
 from logspark.plans.analysis import analyze, build_baseline, compare_runs, merge_baseline
 from logspark.operators.pivots import VectorIndex, build_pivots, write_index
 from logspark.operators.storage import baseline_annotate
+from logspark.session import numbered
 from conftest import plan_of
 
 NOW = 1_779_000_000_000
@@ -319,6 +320,27 @@ def test_drift_rounds_do_not_grow_with_equal_templates(frame, monkeypatch):
     assert cuts_of(4) == cuts_of(24)
 
 
+def test_drift_work_does_not_grow_with_chains(frame, monkeypatch):
+    """Every A pushes the next one off its B: the matching is found without a round for each."""
+    def cuts_of(n):
+        own = [" ".join(f"b{i}w{j}" for j in range(5)) for i in range(n)]
+        a = [(i, i, own[i] if i == 0 else f"{own[i - 1]} {own[i]}", 1, 0.0, "P3") for i in range(n)]
+        b = [(i, i, own[i], 1, 0.0, "P3") for i in range(n)]
+        got, cuts = rounds_of(monkeypatch, lambda: {r.ord_a: r.ord_b for r in R.drift_pairs(frame(a, SNAP), frame(b, SNAP)).collect()})
+        monkeypatch.undo()
+        assert got == sequential(a, b) == {i: i for i in range(n)}
+        return cuts
+
+    assert cuts_of(4) == cuts_of(16)
+
+
+def test_numbered(frame):
+    rows = [(i % 2, (i * 7) % 5, f"t{i * 11 % 40:02d}") for i in range(40)]
+    got = {tuple(r)[:3]: r.rank for r in numbered(frame(rows, "k int, n int, t string"), "rank", ["k"], [F.col("n").desc(), F.col("t")]).collect()}
+    want = {r: i + 1 for k in (0, 1) for i, r in enumerate(sorted((x for x in rows if x[0] == k), key=lambda x: (-x[1], x[2])))}
+    assert got == want
+
+
 def test_drift_pairs_of_nothing(frame):
     empty, null = frame([], SNAP), frame([(1, 1, None, 1, 0.0, "P3")], SNAP)
     some = frame([(1, 1, "a b", 1, 0.0, "P3")], SNAP)
