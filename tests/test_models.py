@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logspark.operators import components as CC, drift as R, scoring as S, vectors as I
+from logspark.operators import components as CC, drift as R, pivots, scoring as S, vectors as I
 from logspark.plans.analysis import analyze, build_baseline, compare_runs, merge_baseline
 from logspark.operators.pivots import VectorIndex, build_pivots, write_index
 from logspark.operators.storage import baseline_annotate
@@ -219,6 +219,17 @@ def test_severity_parts(frame):
     assert r.p1_keyword_flag and not r.keyword_flag and abs(sum(r.breakdown) - r.composite_score) < 2e-4
 
 
+def test_blocks_are_held_in_turns(frame, monkeypatch):
+    """Few vectors held at a time: the same clusters; what a task finds is merged, not kept per pair of blocks."""
+    x = blobs([30, 30, 2])
+    want = {r.id: r.label for r in I.density_clusters(vec_frame(frame, x), 0.3, 3, 5).collect()}
+    monkeypatch.setattr(pivots, "HELD_BYTES", 16 * 8 * 24)
+    assert {r.id: r.label for r in I.density_clusters(vec_frame(frame, x), 0.3, 3, 5, tile_rows=8).collect()} == want
+    monkeypatch.undo()
+    edges = I._forest(build_pivots(vec_frame(frame, np.ones((600, 4), dtype=np.float32)), 8), 0.1)
+    assert 599 <= edges.distinct().count() and edges.count() <= 600 * 8 * 4
+
+
 # --- drift ------------------------------------------------------------------------------------------
 
 SNAP = "ord int, cluster_id int, template string, size long, anomaly_score double, priority string"
