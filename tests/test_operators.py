@@ -149,6 +149,24 @@ def test_lag_statistics_equal_the_pairs(frame, seed):
         assert {(r.c1, r.c2): tuple(r[n] for n in names) for r in stats.collect()} == expected
 
 
+def test_cooccurrences_travel_once(spark, frame, monkeypatch):
+    """Short batches, turns and slices, a burst, a missing service: the same pairs, without a join."""
+    rnd = random.Random(5)
+    events = [(rnd.randint(-900, 9000) if i % 3 else 700 + rnd.randint(0, 40), rnd.randint(-1, 4), rnd.choice(["a", "b", None])) for i in range(200)]
+    want = Counter(
+        (x[1], y[1], x[2], y[2], x[0], y[0], y[0] - x[0]) for x in events for y in events
+        if 0 <= x[1] < y[1] and None not in (x[2], y[2]) and x[2] != y[2] and abs(x[0] - y[0]) <= 300)
+    monkeypatch.setattr(I, "LISTED", 7)
+    monkeypatch.setattr(I, "SLICE_WINDOWS", 2)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        found = I.cooccurrences(frame(events, EVENTS), 300)
+        assert {tuple(r)[:7]: r.pairs for r in found.collect()} == want and "Join" not in plan_of(found)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_no_nested_loops(frame):
     df = frame([(1, 0, "a")], EVENTS)
     for plan in (plan_of(I.cooccurrences(df)), plan_of(I.telemetry_context(
